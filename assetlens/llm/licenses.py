@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from assetlens.llm.runtime import id_and_text
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between words. Letters keep their case: expressions ignore the case of A-Z only, which is what lower-casing A-Z gives.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words too common in licence names to tell one from another.
+GENERIC = {"license", "public", "general", "software", "free", "open", "source", "the"}
 
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -94,33 +96,43 @@ SENTENCES = [
 ]
 
 
-def rule_table() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, expression, priority, confidence) of every rule: each family in six ways of naming it."""
-    rules = [(label, phrase.split()[0 if label != "mit" else 2], phrase, 100, 1.0) for phrase, label in BASE.items()]
+def cue(name: str) -> str:
+    """The longest plain word of a name that tells it from others; without it the name can't match."""
+    words = [w for w in name.split() if w.isalnum()]
+    return max([w for w in words if w not in GENERIC] or words, key=len)
+
+
+def rule_table() -> list[tuple[str, str, list[str], str, int, float]]:
+    """(label, keyword, cues, expression, priority, confidence) of every rule: each family in six ways of naming it.
+
+    The keyword and one of the cues must occur before the expression is tried; no cues: the keyword alone is enough.
+    """
+    rules = [(label, phrase, [], phrase, 100, 1.0) for phrase, label in BASE.items()]
     for label, name, short, version in FAMILIES:
         marked = f"(?: (?:version |v ?|ver )?{version})" if version else ""
-        word = next(w for w in reversed(name.split()) if w.isalnum())
+        shorts = [cue(x) for x in short.split("|")]
         grants = "(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?"
         spdx = label.replace("-", " ") + ("(?: 0)?" if version else "")
         rules += [
-            (label, "under", f"{grants}{name}{marked}", 90, 0.98),
-            (label, word, f"{name}{marked}", 70 if version else 60, 0.92 if version else 0.85),
-            (label, "under", f"{grants}(?:{short}){marked}(?: license)?", 75, 0.9),
-            (label, "license", f"(?:{short}){marked} license", 55, 0.8),
-            (label, "spdx", f"spdx license identifier {spdx}(?: only| or later)?", 95, 0.99),
-            (label, "license", f"license (?:is )?(?:the )?(?:{short}){marked}", 50, 0.75),
+            (label, "under", [cue(name)], f"{grants}{name}{marked}", 90, 0.98),
+            (label, "license" if "license" in name.split() else cue(name), [cue(name)], f"{name}{marked}", 70 if version else 60, 0.92 if version else 0.85),
+            (label, "under", shorts, f"{grants}(?:{short}){marked}(?: license)?", 75, 0.9),
+            (label, "license", shorts, f"(?:{short}){marked} license", 55, 0.8),
+            (label, "spdx", [], f"spdx license identifier {spdx}(?: only| or later)?", 95, 0.99),
+            (label, "license", shorts, f"license (?:is )?(?:the )?(?:{short}){marked}", 50, 0.75),
         ]
-    rules += [(label, word, text, priority, confidence) for label, word, text, priority, confidence in SENTENCES]
-    return sorted(set(rules), key=lambda r: (-r[3], r[0], r[2]))
+    rules += [(label, word, [], text, priority, confidence) for label, word, text, priority, confidence in SENTENCES]
+    return sorted(rules, key=lambda r: (-r[4], r[0], r[3]))
 
 
 def normalised(text):
-    """Lower-cased words joined by single blanks with one blank on either side; two blanks for a text without words."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), SEPARATORS, " ")), F.lit(" "))
+    """Words joined by single blanks with one blank on either side; two blanks for a text without words."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" "))
 
 
-#: First word and number of words of every place of rule r. A place starts after the blanks of all that stands before
-#: it; the pieces between places come from split and the places from regexp_extract_all.
+#: First word and number of words of every place of rule r. An expression starts with the blank before its first word
+#: and leaves the blank after its last, so the blanks before a place count the words before it. The pieces between
+#: places come from split and the places from regexp_extract_all.
 PLACES = """
   aggregate(
     arrays_zip(split(norm, r.expr), regexp_extract_all(norm, r.expr, 0)),
@@ -128,36 +140,43 @@ PLACES = """
     (s, x) -> named_struct(
       'words', cast(s.words + length(x.`0`) - length(replace(x.`0`, ' ', '')) + coalesce(length(x.`1`) - length(replace(x.`1`, ' ', '')), 0) AS bigint),
       'out', if(x.`1` IS NULL, s.out, array_append(s.out, named_struct(
-         'start', cast(s.words + length(x.`0`) - length(replace(x.`0`, ' ', '')) - 1 AS bigint),
-         'words', cast(1 + length(x.`1`) - length(replace(x.`1`, ' ', '')) AS bigint))))),
+         'start', cast(s.words + length(x.`0`) - length(replace(x.`0`, ' ', '')) AS bigint),
+         'words', cast(length(x.`1`) - length(replace(x.`1`, ' ', '')) AS bigint))))),
     s -> s.out)"""
+#: The outer lambda binds the cues once for each text; as a column they would be inlined into the inner lambda.
 DETECTED = f"""
-  flatten(transform(filter(rules, r -> array_contains(keys, r.keyword) AND regexp_like(norm, r.expr)), r ->
-    transform({PLACES}, p -> named_struct('start', p.start, 'words', p.words, 'priority', r.priority, 'label', r.label, 'rule', r.rule, 'confidence', r.confidence))))"""
+  transform(array(cued), cues -> flatten(transform(filter(rules, r -> array_contains(keys, r.keyword) AND (size(r.cues) = 0 OR arrays_overlap(r.cues, cues)) AND regexp_like(norm, r.expr)), r ->
+    transform({PLACES}, p -> named_struct('start', p.start, 'words', p.words, 'priority', r.priority, 'label', r.label, 'rule', r.rule, 'confidence', r.confidence)))))[0]"""
 KEPT = """
   filter(found, p -> NOT exists(found, q -> q.start <= p.start AND q.start + q.words >= p.start + p.words AND (
     q.priority > p.priority OR (q.priority = p.priority AND (q.words > p.words OR (q.words = p.words AND (
       q.label < p.label OR (q.label = p.label AND q.rule < p.rule))))))))"""
 
 
-def detect(docs: DataFrame, rules: list[tuple[str, str, str, int, float]] | None = None) -> DataFrame:
+def detect(docs: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """doc_id, n_words, found (all places of all rules) and kept (after suppression), one row for each input row."""
     rules = rule_table() if rules is None else rules
     constant = F.array(*[
-        F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(word).alias("keyword"), F.lit(f"(?<= )(?:{text})(?= )").alias("expr"), F.lit(priority).alias("priority"), F.lit(conf).alias("confidence"))
-        for i, (label, word, text, priority, conf) in enumerate(rules)
+        F.struct(
+            F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(word).alias("keyword"), F.array(*map(F.lit, cues)).cast("array<string>").alias("cues"),
+            F.lit(f"(?i) (?:{text})(?= )").alias("expr"), F.lit(priority).alias("priority"), F.lit(conf).alias("confidence"),
+        )
+        for i, (label, word, cues, text, priority, conf) in enumerate(rules)
     ])
-    keywords = sorted({r[1] for r in rules})
+    held = lambda words: F.array_compact(F.array(*[F.when(F.contains("low", F.lit(f" {w} ")), F.lit(w)) for w in words]))
+    some = F.size("keys") > 0
+    none = "cast(array() AS array<struct<start:bigint,words:bigint,priority:int,label:string,rule:int,confidence:double>>)"
     body = id_and_text(docs).select("doc_id", normalised(F.col("text")).alias("norm"))
+    body = body.withColumn("low", F.lower("norm"))  # only for the cheap gates; it may hold more keywords than count, never fewer
     blanks = (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))).cast("long")
-    keys = F.array_compact(F.array(*[F.when(F.contains("norm", F.lit(f" {k} ")), F.lit(k)) for k in keywords]))
-    none = "cast(array() AS array<struct<start:bigint,words:bigint,priority:int,label:string,rule:int,confidence:double>>)"
-    body = body.withColumn("n_words", F.when(F.trim("norm") == "", F.lit(0)).otherwise(blanks - 1).cast("long")).withColumn("keys", keys).withColumn("rules", F.when(F.size("keys") > 0, constant))
-    body = body.withColumn("found", F.when(F.size("keys") > 0, F.expr(DETECTED)).otherwise(F.expr(none)))
+    body = body.withColumn("n_words", F.when(F.trim("norm") == "", F.lit(0)).otherwise(blanks - 1).cast("long"))
+    body = body.withColumn("keys", held(sorted({r[1] for r in rules})))
+    body = body.withColumn("cued", F.when(some, held(sorted({c for r in rules for c in r[2]})))).withColumn("rules", F.when(some, constant))
+    body = body.withColumn("found", F.when(some, F.expr(DETECTED)).otherwise(F.expr(none)))
     return body.select("doc_id", "n_words", "found", F.expr(KEPT).alias("kept"))
 
 
-def scan_licenses(docs: DataFrame, rules: list[tuple[str, str, str, int, float]] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_found, n_kept."""
     places = detect(docs, rules).withColumn("base", F.expr("filter(found, p -> p.priority >= 100)"))
     starts = F.expr("transform(base, p -> p.start)")
