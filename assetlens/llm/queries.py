@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from assetlens.llm import chat, licenses, media, sharding
+import public_tokenizers
+
+from assetlens.llm import bpe, chat, licenses, media, quality, sharding, wavelet
 from assetlens.llm.runtime import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -21,6 +22,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,34 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_media_columns, op7_license_scans, op8_sharding)}
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_media_columns, op6_quality_classifier, op7_license_scans, op8_sharding, op9_byte_level_bpe, op10_token_files)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_chat_formatting": rf"""
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'),
+        s AS (
+          SELECT *, '<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10) AS formatted,
+            CASE coalesce(lag(role) OVER w, 'START')
+              WHEN 'START' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant'
+              WHEN 'assistant' THEN role IN ('user', 'tool') WHEN 'tool' THEN role IN ('assistant', 'tool') ELSE false END AS valid,
+            lead(role) OVER w IS NULL AS is_last
+          FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars,
+          sha256(string_agg(formatted, '' ORDER BY turn, role, text)) AS formatted_sha256,
+          bool_and(valid) AND bool_and(NOT is_last OR role = 'assistant') AS valid_order
+        FROM s GROUP BY conv_id""",
+}
