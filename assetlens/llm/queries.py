@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from assetlens.llm import bpe, chat, licenses, media, quality, sharding, wavelet
+from assetlens.llm import bpe, chat, contamination, licenses, media, quality, sharding, wavelet
 from assetlens.llm.runtime import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -18,6 +18,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(planted)))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_media_columns, op6_quality_classifier, op7_license_scans, op8_sharding, op9_byte_level_bpe, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op4_media_columns, op6_quality_classifier, op7_license_scans, op8_sharding, op9_byte_level_bpe, op10_token_files)}
 
 SQL: dict[str, str] = {
     "op1_chat_formatting": rf"""
