@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from assetlens.llm import bpe, chat, contamination, licenses, media, quality, sharding, wavelet
+from assetlens.llm import bpe, chat, contamination, licenses, media, ngram_join, quality, sharding, wavelet
 from assetlens.llm.runtime import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -26,6 +26,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op4_media_columns, op6_quality_classifier, op7_license_scans, op8_sharding, op9_byte_level_bpe, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op4_media_columns, op5_ngram_jaccard_join, op6_quality_classifier, op7_license_scans, op8_sharding, op9_byte_level_bpe, op10_token_files)}
 
 SQL: dict[str, str] = {
     "op1_chat_formatting": rf"""
