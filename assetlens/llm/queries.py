@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from assetlens.llm import bpe, chat, contamination, licenses, media, ngram_join, quality, sharding, wavelet
+from assetlens.llm import bpe, chat, contamination, licenses, media, ngram_join, quality, sharding, suffix_dedup, wavelet
 from assetlens.llm.runtime import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -22,6 +22,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op4_media_columns, op5_ngram_jaccard_join, op6_quality_classifier, op7_license_scans, op8_sharding, op9_byte_level_bpe, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_suffix_array_dedup, op4_media_columns, op5_ngram_jaccard_join, op6_quality_classifier, op7_license_scans, op8_sharding, op9_byte_level_bpe, op10_token_files)}
 
 SQL: dict[str, str] = {
     "op1_chat_formatting": rf"""
