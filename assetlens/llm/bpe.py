@@ -30,6 +30,7 @@ CACHE = 200_000
 #: Bytes of new words in one recursive query.
 QUERY_BYTES = 400_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean"
+WITH_IDS = SCHEMA + ", ids binary"
 
 ENCODE = """
 WITH RECURSIVE t(step, w, pos, tok) AS (
@@ -132,11 +133,11 @@ class Codec:
         if new := list(new - self.ids.keys()):
             self.learn(new)
 
-    def row(self, text: str) -> tuple:
+    def row(self, text: str, with_ids: bool = False) -> tuple:
         parts = pieces(text, self.pattern)
         ids = b"".join(map(self.ids.__getitem__, parts))
         raw = b"".join(map(self.raw.__getitem__, parts))
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw), raw == text.encode()
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw), raw == text.encode(), *([ids] if with_ids else [])
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -149,8 +150,10 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    names = SCHEMA.replace(",", "").split()[0::2]
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Digests of ids and decoded bytes by document; with_ids adds the ids as little-endian unsigned 32-bit integers."""
+    schema = WITH_IDS if with_ids else SCHEMA
+    names = schema.replace(",", "").split()[0::2]
 
     def batches(frames):
         own = codec(ranks, pattern)
@@ -159,6 +162,6 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             for start in range(0, len(texts), 2000):
                 part = texts[start:start + 2000]
                 own.prepare(part)
-                yield pd.DataFrame([(i, *own.row(t)) for i, t in zip(ids[start:start + 2000].array, part)], columns=names).astype({"doc_id": "Int64"})
+                yield pd.DataFrame([(i, *own.row(t, with_ids)) for i, t in zip(ids[start:start + 2000].array, part)], columns=names).astype({"doc_id": "Int64"})
 
-    return id_and_text(docs).mapInPandas(batches, SCHEMA)
+    return id_and_text(docs).mapInPandas(batches, schema)

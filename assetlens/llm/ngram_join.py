@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlens.llm.graph import components
-from assetlens.llm.runtime import id_and_text, materialize
+from assetlens.llm.runtime import id_and_text, materialize, split_by_bitmap
 
 ORDERS = 2
 SKETCH_BITS = 18
@@ -203,3 +203,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     final = components(stars.unionByName(more)).withColumnRenamed("node", "id")
     named = classes.join(final, classes["node"] == final["id"], "left").select("digest", F.coalesce("component", "node").alias("component"))
     return sets.join(named, "digest", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, but of each component only the one with the least doc_id.
+
+    Of rows that share a doc_id the one with the least text stays; rows without a doc_id stay. Only rows that may be
+    dropped are shuffled.
+    """
+    found = materialize(near_duplicates(docs, n, percent), "components")
+    own = F.col("doc_id") == F.col("component_id")
+    touched = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(own).alias("stays")).filter("n > 1 OR NOT stays")
+    touched = materialize(touched.select(F.col("doc_id").alias("__id"), F.col("stays").alias("__stays")), "dropped")
+    some, rest = split_by_bitmap(docs, F.col("doc_id"), bitmap_of(touched.select(F.col("__id").alias("id"))), id_slots)
+    some = some.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    some = some.join(touched, F.col("doc_id") == F.col("__id"), "left").filter("__id IS NULL OR (__stays AND __row = 1)")
+    return rest.unionByName(some.select(*docs.columns))

@@ -174,3 +174,25 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "score": score, "predicted": (score >= 0.5).astype(np.int32), "n_lines": lines, "bad_chars": bad}, columns=names)
 
     return id_and_text(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInPandas(batches, SCHEMA)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents predicted good, with all their columns."""
+    import pyarrow as pa
+
+    model = fit(docs, labels)
+
+    def batches(arrow):
+        for batch in arrow:
+            texts, good, start = [t or "" for t in batch.column("text").to_pylist()], [], 0
+            while start < len(texts):
+                stop, size = start, 0
+                while stop < len(texts) and (stop == start or size + len(texts[stop]) < BATCH_BYTES):
+                    size += len(texts[stop])
+                    stop += 1
+                good.append(score_texts(texts[start:stop], model)[0] >= 0.5)
+                start = stop
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(batches, docs.schema) if model else docs

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
@@ -44,3 +44,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that the operators need; other columns never clash with work columns. Null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def split_by_bitmap(docs: DataFrame, key: Column, bitmap, slots) -> tuple[DataFrame, DataFrame]:
+    """(rows whose 64-bit key may be in the bitmap, rows whose key surely is not), all columns kept, nothing shuffled.
+
+    ``slots`` maps keys to bits. Null keys are surely not in it.
+    """
+    import pyarrow as pa
+
+    def half(wanted: bool):
+        def batches(arrow):
+            for batch in arrow:
+                keys = batch.column(batch.num_columns - 1)
+                found = bitmap[slots(keys.fill_null(0).to_numpy(zero_copy_only=False))] & keys.is_valid().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(found == wanted))
+
+        return docs.select("*", key.cast("long").alias("__key")).mapInArrow(batches, docs.schema)
+
+    return half(True), half(False)

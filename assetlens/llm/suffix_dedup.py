@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetlens.llm.runtime import id_and_text, materialize
+from assetlens.llm.runtime import id_and_text, materialize, split_by_bitmap
 
 LENGTH = 400
 WINDOW = 128
@@ -322,3 +322,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("sha", "tid").alias("kept_sha256"),
     )
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with all their columns and without their repeated strings; n_chars, where there is one, follows the text.
+
+    A character of which a byte is removed goes as a whole. Documents that lose bytes and keep nothing but white space
+    go. Only documents that may lose bytes are shuffled.
+    """
+    from assetlens.llm.ngram_join import bitmap_of, id_slots
+
+    _, lost = repeated_strings(docs, length)
+
+    def decode(frames):
+        for frame in frames:
+            yield pd.DataFrame({"__tid": frame["tid"], "__text": [bytes(k).decode("utf-8", "ignore") for k in frame["kept"]]})
+
+    lost = materialize(lost.select("tid", "kept").mapInPandas(decode, "__tid string, __text string"), "cut-texts")
+    tid = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    some, rest = split_by_bitmap(docs, F.xxhash64(tid), bitmap_of(lost.select(F.xxhash64("__tid").alias("id"))), id_slots)
+    some = some.withColumn("__key", tid).join(lost, F.col("__key") == F.col("__tid"), "left").filter("__tid IS NULL OR trim(__text) <> ''")
+    some = some.withColumn("text", F.coalesce("__text", "text"))
+    if "n_chars" in docs.columns:
+        some = some.withColumn("n_chars", F.when(F.col("__tid").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rest.unionByName(some.select(*docs.columns))
