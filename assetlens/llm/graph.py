@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlens.llm.runtime import materialize
+from assetlens.llm.runtime import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         least = large.filter("a >= b").groupBy("a").agg(F.min("b").alias("m"))
         small = large.filter("a > b").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(small, "edges")
+        old, edges = edges, materialize(small, "edges")
+        release(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

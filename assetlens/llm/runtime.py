@@ -30,11 +30,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and return the table reread from there."""
+    """Write ``df`` once into the shared folder and return the table reread from there.
+
+    The written query's shuffle files are of no use any more; a collection of the driver's garbage lets Spark drop them
+    from the executors' disks now rather than at some later collection.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,8 +5,9 @@ A byte is removed if a string of ``length`` bytes that covers it also starts any
 1. Parse. Of every WINDOW neighbouring positions the one whose 8 bytes hash least (the last of equals) is an anchor, so
    equal strings of ``length`` bytes hold the same first anchor at the same place. Anchors cut a text into phrases.
    Only anchors whose next length - WINDOW + 1 bytes occur twice in the corpus can belong to a repeat; a Bloom filter of
-   fixed size tells which, and runs of such anchors are the strings to be sorted. Equal texts are one string.
-2. Difference cover. Positions 1 and 2 mod 3 of a run are sampled; their triples of phrase names are sorted, named in that
+   fixed size tells which, and a text's names of such anchors are a string to be sorted (the last phrase of a run is as long as a string, so nothing
+   behind it matters). Equal texts are one string.
+2. Difference cover. Positions 1 and 2 mod 3 of a string are sampled; their triples of phrase names are sorted, named in that
    order, and the names are the strings of the next level, until a name stands for ``length`` bytes. The suffixes at
    position 0 mod 3 are merged by (name, class of the next sampled suffix) or (two names, class of the one after),
    whichever the other suffix shares.
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetlens.llm.runtime import id_and_text, materialize, split_by_bitmap
+from assetlens.llm.runtime import id_and_text, materialize, release, split_by_bitmap
 
 LENGTH = 400
 WINDOW = 128
@@ -167,7 +168,7 @@ def _among(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ok
 
 
-PARSED = "doc_id long, n_bytes long, tid string, raw binary, anchors array<int>, lows array<int>, highs array<int>, heads array<long>, lefts array<long>, names array<long>, covers array<int>, runs array<int>"
+PARSED = "doc_id long, n_bytes long, tid string, raw binary, anchors array<int>, lows array<int>, highs array<int>, heads array<long>, lefts array<long>, names array<long>, covers array<int>"
 
 
 def parse(body: DataFrame, bloom: np.ndarray, length: int) -> DataFrame:
@@ -177,7 +178,7 @@ def parse(body: DataFrame, bloom: np.ndarray, length: int) -> DataFrame:
     def batches(frames):
         for frame in frames:
             texts = _utf8(frame["text"])
-            more = [(None,) * 9] * len(texts)
+            more = [(None,) * 8] * len(texts)
             for group in slices(texts, length):
                 t, starts, ends = _joined(texts, group)
                 a, low, high, owner = t.anchors(starts, ends, length)
@@ -192,13 +193,12 @@ def parse(body: DataFrame, bloom: np.ndarray, length: int) -> DataFrame:
                 stop[:-1] = np.where(follows[:-1], a[1:], stop[:-1])
                 name = t.hash(a, stop) + (stop - a).astype(np.uint64)
                 left = t.hash(low, a) + (a - low).astype(np.uint64) * np.uint64(_B2) + (high - low).astype(np.uint64)
-                run = np.cumsum(~np.concatenate(([False], follows[:-1])))
                 edge = np.searchsorted(owner, np.arange(len(group) + 1))
                 for k, i in enumerate(group):
                     s = slice(edge[k], edge[k + 1])
                     if edge[k] < edge[k + 1]:
                         o = starts[k]
-                        more[i] = (texts[i], a[s] - o, low[s] - o, high[s] - o, head[s].view(np.int64), left[s].view(np.int64), name[s].view(np.int64), (stop - a)[s], run[s] - run[edge[k]])
+                        more[i] = (texts[i], a[s] - o, low[s] - o, high[s] - o, head[s].view(np.int64), left[s].view(np.int64), name[s].view(np.int64), (stop - a)[s])
             rows = [(i, len(t), hashlib.sha256(t).hexdigest(), *m) for i, t, m in zip(frame["doc_id"].astype("Int64").array, texts, more)]
             yield pd.DataFrame(rows, columns=PARSED.replace(",", "").split()[0::2]).astype({"doc_id": "Int64"})
 
@@ -212,40 +212,50 @@ def sorted_names(triples: DataFrame) -> DataFrame:
     return materialize(ordered.withColumn("name", F.monotonically_increasing_id()), "names")
 
 
-def suffix_classes(strings: DataFrame, length: int) -> DataFrame:
-    """(run, pos, cls): suffixes of the strings (run, pos, sym, cover) that agree on ``length`` covered bytes or to their end.
+def suffix_classes(strings: DataFrame, length: int, level: int = 0) -> DataFrame:
+    """(run, half, pos, cls): suffixes of one class agree on ``length`` covered bytes or to the end of their strings.
 
-    ``run`` is a binary or string key. Each level recurses on two thirds of the positions; a symbol of a level covers
-    three of the level before, so few levels reach ``length``.
+    ``strings`` is a materialized table (run, half, pos, sym, cover) and is deleted. A triple stops at the name with
+    which it covers ``length`` bytes. A level recurses on two thirds of the positions, as two strings for each one
+    (``half`` gets a bit for each level), and its names cover three of the level before.
     """
-    at = Window.partitionBy("run").orderBy("pos")
-    after = lambda c, k, none: F.coalesce(F.lead(c, k).over(at), F.lit(none))
-    rows = strings.select("run", "pos", "cover", F.col("sym").alias("s0"), F.lead("sym", 1).over(at).alias("s1"), F.lead("sym", 2).over(at).alias("s2"), after("cover", 1, 0).alias("c1"), after("cover", 2, 0).alias("c2"))
+    at = Window.partitionBy("run", "half").orderBy("pos")
+    rows = strings.select("run", "half", "pos", "cover", F.col("sym").alias("s0"), F.lead("sym", 1).over(at).alias("n1"), F.lead("sym", 2).over(at).alias("n2"), F.lead("cover", 1).over(at).alias("c1"), F.lead("cover", 2).over(at).alias("c2"))
+    one, two = F.col("cover") < length, F.col("cover") + F.col("c1") < length
+    rows = rows.select(
+        "run", "half", "pos", "s0", "n1", F.when(one, F.col("n1")).alias("s1"), F.when(one & two, F.col("n2")).alias("s2"),
+        (F.col("cover") + F.when(one, F.coalesce("c1", F.lit(0))).otherwise(0) + F.when(one & two, F.coalesce("c2", F.lit(0))).otherwise(0)).cast("int").alias("covers"), F.col("cover"),
+    )
     rows = materialize(rows, "triples")
-    if rows.filter((F.col("cover") < length) & F.col("s1").isNotNull()).isEmpty():
-        return rows.select("run", "pos", F.col("s0").alias("cls"))
+    release(strings)
+    if rows.filter((F.col("cover") < length) & F.col("n1").isNotNull()).isEmpty():
+        return rows.select("run", "half", "pos", F.col("s0").alias("cls"))
     sample = rows.filter("pos % 3 <> 0")
     names = sorted_names(sample)
-    same = lambda c: F.col(f"x.{c}").eqNullSafe(F.col(f"n.{c}"))
-    named = sample.alias("x").join(names.alias("n"), same("s0") & same("s1") & same("s2")).select(
-        F.concat("x.run", F.when(F.expr("x.pos % 3 = 1"), F.lit("1")).otherwise(F.lit("2"))).alias("run"), F.expr("cast(x.pos div 3 AS int)").alias("pos"),
-        F.col("n.name").alias("sym"), (F.col("x.cover") + F.col("x.c1") + F.col("x.c2")).cast("int").alias("cover"),
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    named = sample.alias("x").join(names.alias("n"), same("x.s0", "n.s0") & same("x.s1", "n.s1") & same("x.s2", "n.s2")).select(
+        "x.run", F.expr("x.half * 2 + (x.pos % 3) - 1").cast("int").alias("half"), F.expr("cast(x.pos div 3 AS int)").alias("pos"), F.col("n.name").alias("sym"), F.col("x.covers").alias("cover"),
     )
-    deep = suffix_classes(named, length)
-    found = deep.select(F.expr("substr(run, 1, length(run) - 1)").alias("run"), (F.col("pos") * 3 + F.substring("run", -1, 1).cast("int")).alias("pos"), "cls")
-    found = materialize(found, "sampled")
-    # The class of the next sampled suffix or of the one after it stands beside each suffix.
-    look = rows.select("run", "pos", "s0", "s1").join(found, ["run", "pos"], "left")
-    look = look.select("run", "pos", "s0", "s1", "cls", F.lead("cls", 1).over(at).alias("k1"), F.lead("cls", 2).over(at).alias("k2"))
-    look = materialize(look, "ranks")
-    one = look.filter("pos % 3 = 1").groupBy("s0", "k1").agg(F.min("cls").alias("cls1"))
-    two = look.filter("pos % 3 = 2").groupBy("s0", "s1", "k2").agg(F.min("cls").alias("cls2"))
+    named = materialize(named, "strings")
+    release(names)
+    deep = suffix_classes(named, length, level + 1)
+    found = deep.select("run", F.expr("cast(half div 2 AS int)").alias("half"), F.expr("cast(pos * 3 + half % 2 + 1 AS int)").alias("pos"), "cls")
+    # The class of the next sampled suffix and of the one after it stand beside each suffix.
+    none = F.lit(None)
+    both = rows.select("run", "half", "pos", "s0", F.col("n1").alias("s1"), none.cast("long").alias("cls")).unionByName(found.select("run", "half", "pos", none.cast("long").alias("s0"), none.cast("long").alias("s1"), "cls"))
+    both = both.groupBy("run", "half", "pos").agg(F.max("s0").alias("s0"), F.max("s1").alias("s1"), F.max("cls").alias("cls"))
+    look = materialize(both.select("*", F.lead("cls", 1).over(at).alias("k1"), F.lead("cls", 2).over(at).alias("k2")), "ranks")
+    release(rows)
+    first = look.filter("pos % 3 = 1").groupBy("s0", "k1").agg(F.min("cls").alias("cls1"))
+    second = look.filter("pos % 3 = 2").groupBy("s0", "s1", "k2").agg(F.min("cls").alias("cls2"))
     rest = look.filter("pos % 3 = 0").drop("cls").alias("r")
-    null_safe = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    rest = rest.join(one.alias("o"), null_safe("r.s0", "o.s0") & null_safe("r.k1", "o.k1"), "left").join(two.alias("t"), null_safe("r.s0", "t.s0") & null_safe("r.s1", "t.s1") & null_safe("r.k2", "t.k2"), "left")
-    own = -F.abs(F.xxhash64("r.s0", F.coalesce("r.k1", F.lit(-1)))) - 1
-    rest = rest.select("r.run", "r.pos", F.coalesce("cls1", "cls2", own).alias("cls"))
-    return look.filter("pos % 3 <> 0").select("run", "pos", "cls").unionByName(rest)
+    rest = rest.join(first.alias("o"), same("r.s0", "o.s0") & same("r.k1", "o.k1"), "left").join(second.alias("t"), same("r.s0", "t.s0") & same("r.s1", "t.s1") & same("r.k2", "t.k2"), "left")
+    # Names of different levels are numbers of different things, so the level is part of a class's own number.
+    own = -F.abs(F.xxhash64(F.lit(level), "r.s0", F.coalesce("r.k1", F.lit(-(1 << 63))))) - 1
+    rest = rest.select("r.run", "r.half", "r.pos", F.coalesce("cls1", "cls2", own).alias("cls"))
+    out = materialize(look.filter("pos % 3 <> 0").select("run", "half", "pos", "cls").unionByName(rest), "classes")
+    release(look)
+    return out
 
 
 def _ranges(frame_ranges) -> np.ndarray:
@@ -266,25 +276,28 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
         raise ValueError(f"a string has {2 * WINDOW} bytes at least")
     body = id_and_text(docs)
     parsed = parse(body, repeated_heads(body, length), length)
-    every = parsed.select("doc_id", "n_bytes", "tid")
-    copies = every.filter(F.col("n_bytes") >= length).groupBy("tid").agg(F.count("*").alias("copies"))
-    texts = materialize(parsed.filter("raw IS NOT NULL").drop("doc_id").dropDuplicates(["tid"]).join(copies, "tid"), "texts")
-    zipped = F.arrays_zip("anchors", "lows", "highs", "heads", "lefts", "names", "covers", "runs")
-    cells = texts.select("tid", "copies", F.explode(zipped).alias("z")).select("tid", "copies", F.concat("tid", F.lit(":"), F.col("z.runs")).alias("run"), F.col("z.anchors").alias("pos0"), "z.lows", "z.highs", "z.heads", "z.lefts", "z.names", "z.covers")
-    cells = cells.withColumn("pos", F.row_number().over(Window.partitionBy("run").orderBy("pos0")) - 1)
-    cells = materialize(cells, "suffixes")
-    classes = suffix_classes(cells.select("run", "pos", F.col("names").alias("sym"), F.col("covers").alias("cover")), length)
-    ranked = cells.join(classes, ["run", "pos"]).select("tid", "copies", "run", "pos", "lows", "highs", "heads", "lefts", "cls")
-    context = Window.partitionBy("heads", "cls", "lefts")
-    ranked = ranked.withColumn("twins", F.sum("copies").over(context)).withColumn("first", F.row_number().over(context.orderBy("run", "pos")) == 1)
-    group = Window.partitionBy("heads")
-    ctx = F.xxhash64("cls", "lefts")
-    ranked = ranked.withColumn("mixed", F.min(ctx).over(group) != F.max(ctx).over(group))
-    marked = ranked.groupBy("tid").agg(
+    every = materialize(parsed.select("doc_id", "n_bytes", "tid"), "texts-of-documents")
+    held = ("raw", "anchors", "lows", "highs", "heads", "lefts", "names", "covers")
+    texts = parsed.filter("raw IS NOT NULL").groupBy("tid").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in held))
+    texts = materialize(texts.withColumn("run", F.monotonically_increasing_id()), "texts")
+    release(parsed)
+    cells = texts.select("run", "copies", F.posexplode(F.arrays_zip("lows", "highs", "heads", "lefts", "names", "covers")).alias("pos", "z"))
+    cells = materialize(cells.select("run", "pos", "copies", "z.lows", "z.highs", "z.heads", "z.lefts", "z.names", "z.covers"), "suffixes")
+    strings = materialize(cells.select("run", F.lit(1).alias("half"), "pos", F.col("names").alias("sym"), F.col("covers").alias("cover")), "strings")
+    classes = suffix_classes(strings, length)
+    ranked = cells.drop("names", "covers").join(classes.drop("half"), ["run", "pos"])
+    # The class and what stands before the anchor, as one number.
+    ranked = materialize(ranked.select("run", "copies", "lows", "highs", "heads", F.xxhash64("cls", "lefts", "heads").alias("context")), "ranked")
+    release(cells)
+    context, group = Window.partitionBy("context"), Window.partitionBy("heads")
+    ranked = ranked.withColumn("twins", F.sum("copies").over(context)).withColumn("first", F.row_number().over(context.orderBy("run", "lows")) == 1)
+    ranked = ranked.withColumn("mixed", F.min("context").over(group) != F.max("context").over(group))
+    marked = ranked.filter("twins > 1 OR (mixed AND first)").groupBy("run").agg(
         F.collect_list(F.when(F.col("twins") > 1, F.struct(F.col("lows").alias("low"), F.col("highs").alias("high")))).alias("done"),
         F.collect_list(F.when(F.col("mixed") & F.col("first"), F.struct(F.col("lows").alias("low"), F.col("highs").alias("high")))).alias("open"),
     )
-    state = materialize(texts.select("tid", "raw", "copies").join(marked, "tid"), "states")
+    state = materialize(texts.select("run", "tid", "raw", "copies").join(marked, "run").drop("run"), "states")
+    release(texts)
 
     def prefixes(frames):
         for frame in frames:
