@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlens.llm.graph import components
-from assetlens.llm.runtime import id_and_text, materialize, split_by_bitmap
+from assetlens.llm.runtime import id_and_text, materialize, release, split_by_bitmap
 
-ORDERS = 2
+ORDERS = 2  # a power of two
 SKETCH_BITS = 18
 BITMAP_BITS = 23
 WORD_CACHE = 400_000
@@ -133,7 +133,7 @@ def prefixes(docs: DataFrame, keep: np.ndarray, sketch: np.ndarray, n: int, perc
                 for r in range(ORDERS):
                     key = (own << np.uint64(57)) | (mix(s, _SEEDS[r]) >> np.uint64(7))
                     at = np.argpartition(key, length - 1)[:length] if length < len(s) else np.arange(len(s))
-                    lists.append(s[at].view(np.int64))
+                    lists.append((mix(s[at], _SEEDS[r]) & ~np.uint64(ORDERS - 1) | np.uint64(r)).view(np.int64))  # the order in the lowest bits
                     if not r:
                         central = float(own[at].mean())
                 out.append((int(i), len(s), *parity, central, *lists))
@@ -169,7 +169,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
     sets = materialize(docs.mapInPandas(build, "id long, tokens array<long>"), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    return materialize(joined.select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), "links")
+    links = materialize(joined.select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), "links")
+    release(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -180,26 +182,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     classes = materialize(classes, "classes")
     nodes = classes.filter("node IS NOT NULL").select(F.col("node").alias("id"))
     table = prefixes(body, bitmap_of(nodes), sketch, n, percent)
-    small = table.drop(*(f"t{r}" for r in range(ORDERS)))
+    # Most central first, so that the hub of a list is its least number; numbers replace ids in all that is shuffled.
+    tokens = materialize(table.repartitionByRange(F.desc("central"), "id").sortWithinPartitions(F.desc("central"), "id").select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+    release(table)
+    small = materialize(tokens.select("node", "id", "size", "p0", "p1", "p2", "p3"), "bitmaps")
     all_orders = (1 << ORDERS) - 1
-    lists = F.array(*(F.expr(f"transform(t{r}, t -> named_struct('bit', cast({1 << r} AS tinyint), 'token', t))") for r in range(ORDERS)))
-    rows = table.select("id", "central", F.explode(F.flatten(lists)).alias("p")).select("id", "central", "p.bit", "p.token")
-    same = Window.partitionBy("bit", "token")
-    rows = rows.withColumn("hub", F.max(F.struct("central", (-F.col("id")).alias("last"))).over(same)).withColumn("n", F.count("*").over(same))
-    lists = materialize(rows.filter("n > 1").select("bit", "token", "id", (-F.col("hub.last")).alias("hub")), "token-lists")
+    rows = tokens.select("node", F.explode(F.concat(*(f"t{r}" for r in range(ORDERS)))).alias("token"))
+    same = Window.partitionBy("token")
+    rows = rows.withColumn("hub", F.min("node").over(same)).withColumn("last", F.max("node").over(same))
+    lists = materialize(rows.filter("hub < last").select("token", "node", "hub"), "token-lists")
+    release(tokens)
+    bit = F.expr(f"cast(shiftleft(1, cast(token & {ORDERS - 1} AS int)) AS tinyint)")
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        shared = pairs.groupBy("a", "b").agg(F.expr("bit_or(bit)").alias("bits")).filter(f"bits = {all_orders}").select("a", "b")
-        shared = shared.withColumnsRenamed({"a": "ia", "b": "ib"})
-        return materialize(shared.join(small.alias("a"), F.col("ia") == F.col("a.id")).join(small.alias("b"), F.col("ib") == F.col("b.id")).filter(_may_link(percent)).select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct(), "candidates")
-
-    stars = _verified(candidates(lists.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "bit")), body, n, percent)
-    joined = materialize(components(stars), "star-components")
-    place = lists.select("bit", "token", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    place = place.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).filter("low <> high").drop("low", "high")
-    place = materialize(place.join(small.drop("central"), "id"), "open-lists")
-    cross = place.alias("a").join(place.alias("b"), (F.col("a.bit") == F.col("b.bit")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & _may_link(percent))
-    more = _verified(candidates(cross.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.bit").alias("bit"))), body, n, percent)
+        shared = pairs.groupBy("na", "nb").agg(F.expr("bit_or(bit)").alias("bits")).filter(f"bits = {all_orders}").select("na", "nb")
+        near = shared.join(small.alias("a"), F.col("na") == F.col("a.node")).join(small.alias("b"), F.col("nb") == F.col("b.node")).filter(_may_link(percent))
+        return materialize(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).filter("a <> b").distinct(), "candidates")
+
+    stars = _verified(candidates(lists.filter("node <> hub").select(F.col("node").alias("na"), F.col("hub").alias("nb"), bit.alias("bit"))), body, n, percent)
+    joined = components(stars).join(small.select(F.col("id").alias("node"), F.col("node").alias("number")), "node").select(F.col("number").alias("node"), "component")
+    joined = materialize(joined, "star-components")
+    # Nodes without a star link are components of their own, told from others by a negative number.
+    place = lists.select("token", "node").join(joined, "node", "left").select("token", "node", F.when(F.col("component").isNotNull(), F.xxhash64("component")).otherwise(-1 - F.col("node")).alias("component"))
+    place = place.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).filter("low < high").drop("low", "high")
+    place = materialize(place, "open-lists")
+    release(lists)
+    place = place.join(small.drop("id"), "node")
+    cross = place.alias("a").join(place.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & _may_link(percent))
+    more = _verified(candidates(cross.select(F.least("a.node", "b.node").alias("na"), F.greatest("a.node", "b.node").alias("nb"), F.expr(f"cast(shiftleft(1, cast(a.token & {ORDERS - 1} AS int)) AS tinyint)").alias("bit"))), body, n, percent)
     final = components(stars.unionByName(more)).withColumnRenamed("node", "id")
     named = classes.join(final, classes["node"] == final["id"], "left").select("digest", F.coalesce("component", "node").alias("component"))
     return sets.join(named, "digest", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
