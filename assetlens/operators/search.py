@@ -7,7 +7,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetlens.functions.text import STOPWORDS, concepts
+from assetlens.functions.text import STOPWORDS
 
 # Weights of the concept buckets.
 WEIGHTS = {"identity": 1.0, "summary": 0.92, "composition": 0.90, "motion": 0.90, "appearance": 0.86, "usability": 0.82, "facets": 0.74, "caption": 0.70, "filename": 0.62}
@@ -33,7 +33,13 @@ def score(elements: DataFrame, query: str, buckets: dict[str, Column], families:
     if not wanted:
         return elements.select("element_id", "sort_order", F.lit(0).cast("long").alias("n_matched"), F.lit(0.0).alias("coverage"), F.lit(0.0).alias("weighted"), F.lit(0.0).alias("score"), F.lit("").alias("matched"))
     query_array = F.array(*map(F.lit, wanted))
-    held = elements.select("element_id", "sort_order", families.alias("families"), *[F.array_intersect(query_array, concepts(c, aliases)).alias(b) for b, c in buckets.items()])
+    # A concept is held where one of the tokens that stand for it is; a text is cut into tokens once.
+    stand = {w: [t for t, c in (aliases or {}).items() if c == w] + ([w] if w not in (aliases or {}) else []) for w in wanted}
+    plain = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
+    cut = elements.select("element_id", "sort_order", families.alias("families"), *[plain(c).alias(b) for b, c in buckets.items()])
+    held = cut.select("element_id", "sort_order", "families", *[
+        F.array_compact(F.array(*[F.when(F.greatest(*[F.contains(b, F.lit(f" {t} ")) for t in stand[w]], F.lit(False)), F.lit(w)) for w in wanted])).alias(b) for b in buckets
+    ])
     best = [F.greatest(F.lit(0.0), *[F.when(F.array_contains(b, w), WEIGHTS[b]).otherwise(0.0) for b in buckets]) for w in wanted]
     matched = F.array_sort(F.array_distinct(F.flatten(F.array(*buckets))))
     n = len(wanted)
