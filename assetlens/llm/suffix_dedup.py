@@ -35,7 +35,7 @@ from assetlens.llm.runtime import id_and_text, materialize, release, split_by_bi
 
 LENGTH = 400
 WINDOW = 128
-BLOOM_BITS = 26
+BLOOM_BITS = 25
 PROBES = 4
 SLICE = 1 << 18
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -155,9 +155,9 @@ def repeated_heads(body: DataFrame, length: int) -> np.ndarray:
             yield pd.DataFrame({"slot": slot})
 
     twice = body.select("text").mapInPandas(heads, "head long").groupBy("head").count().filter("count > 1").select("head")
-    words = twice.mapInPandas(probe, "slot long").groupBy(F.expr("slot >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toPandas()
+    words = twice.mapInPandas(probe, "slot long").groupBy(F.expr("slot >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toArrow()
     bloom = np.zeros((1 << BLOOM_BITS) // 64, np.int64)
-    bloom[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    bloom[words["word"].to_numpy()] = words["bits"].to_numpy()
     return bloom
 
 
