@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from assetlens.llm.chunks import pieces
 from assetlens.llm.runtime import id_and_text
 
-CACHE = 200_000
+CACHE = 500_000
 #: Bytes of new words in one recursive query.
 QUERY_BYTES = 400_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean"
@@ -50,7 +50,7 @@ WITH RECURSIVE t(step, w, pos, tok) AS (
     )
   ) WHERE NOT gone
 )
-SELECT w, tok FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) WHERE step = last ORDER BY w, pos
+SELECT t.w, t.tok FROM t JOIN (SELECT w, max(step) AS last FROM t GROUP BY w) e ON e.w = t.w AND e.last = t.step ORDER BY t.w, t.pos
 """
 DECODE = "SELECT i.w, unhex(string_agg(v.hexed, '' ORDER BY i.pos)) AS raw FROM ids i JOIN vocab v ON v.id = i.tok GROUP BY i.w"
 
@@ -64,7 +64,7 @@ class Codec:
     """A rank file in an in-memory database, with caches of encoded and decoded pieces."""
 
     def __init__(self, path: str, pattern: str):
-        ranks = read_ranks(path)
+        ranks = self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
@@ -77,7 +77,10 @@ class Codec:
         self.raw: dict[str, bytes] = {}
 
     def encode_words(self, words: list[str]) -> None:
-        """Ids of new pre-tokens, as little-endian unsigned 32-bit integers."""
+        """Ids of new pre-tokens, as little-endian unsigned 32-bit integers; a word that is a token needs no merges."""
+        whole = {w: self.ranks[r] for w in words if (r := w.encode()) in self.ranks}
+        self.words |= {w: i.to_bytes(4, "little") for w, i in whole.items()}
+        words = [w for w in words if w not in whole]
         at = 0
         while at < len(words):
             group, size = [], 0
