@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from assetlens.llm.chunks import pieces
 from assetlens.llm.runtime import id_and_text
 
-CACHE = 500_000
+CACHE = 300_000
 #: Bytes of new words in one recursive query.
 QUERY_BYTES = 400_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean"

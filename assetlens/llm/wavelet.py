@@ -34,7 +34,7 @@ from assetlens.llm.runtime import fresh_path, id_and_text, materialize
 MAGIC = b"ALWM0001"
 BLOCK = 1 << 18
 DOCS_PER_SHARD = 4096
-CACHE = 300_000
+CACHE = 120_000
 MANIFEST = "path string, first_id long, part int, n_docs long, n_ids long"
 ROWS = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long, doc_no long"
 
