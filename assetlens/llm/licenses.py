@@ -103,7 +103,7 @@ def cue(name: str) -> str:
 
 
 def rule_table() -> list[tuple[str, str, list[str], str, int, float]]:
-    """(label, keyword, cues, expression, priority, confidence) of every rule: each family in six ways of naming it.
+    """(label, keyword, cues, expression, priority, confidence) of every rule: each family in six or seven ways of naming it.
 
     The keyword and one of the cues must occur before the expression is tried; no cues: the keyword alone is enough.
     """
@@ -121,6 +121,8 @@ def rule_table() -> list[tuple[str, str, list[str], str, int, float]]:
             (label, "spdx", [], f"spdx license identifier {spdx}(?: only| or later)?", 95, 0.99),
             (label, "license", shorts, f"license (?:is )?(?:the )?(?:{short}){marked}", 50, 0.75),
         ]
+        if label.startswith("cc-"):  # these names stand alone with their version
+            rules.append((label, "cc", [], f"{short} {version}", 45, 0.65))
     rules += [(label, word, [], text, priority, confidence) for label, word, text, priority, confidence in SENTENCES]
     return sorted(rules, key=lambda r: (-r[4], r[0], r[3]))
 
