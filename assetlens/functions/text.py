@@ -43,8 +43,9 @@ def clauses(text: Column) -> Column:
 
 def affirmative_words(text: Column) -> Column:
     """Words that the text affirms: no clause of doubt, none of the six words before it a negator, no copula and not after it."""
-    doubt = r"\b(?:maybe|perhaps|possibly|unclear|uncertain|ambiguous|might)\b"
-    negators = ["no", "not", "without", "never", "none", "neither", "nor"]
+    # Words of doubt and negators.
+    doubt = r"\b(?:unclear|uncertain|possibly|perhaps|whether|cannot determine)\b"
+    negators = ["no", "not", "without", "neither", "absent"]
     kept = F.filter(clauses(text), lambda c: ~c.rlike(doubt))
     words = F.transform(kept, lambda c: F.regexp_extract_all(c, F.lit("([a-z0-9_]+)"), 1))
 
@@ -52,7 +53,7 @@ def affirmative_words(text: Column) -> Column:
         def ok(w: Column, i: Column) -> Column:
             start = F.greatest(i - 5, F.lit(1))
             before = F.slice(ws, start, i + 1 - start)
-            behind = F.concat_ws(" ", F.slice(ws, i + 2, 2))
+            behind = F.concat_ws(" ", F.slice(ws, i + 2, 3))
             return ~w.isin(negators) & ~F.arrays_overlap(before, F.array(*map(F.lit, negators))) & ~behind.rlike("^(?:(?:is|are|was|were) )?(?:not|absent)\\b")
 
         return F.filter(ws, ok)

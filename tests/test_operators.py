@@ -56,7 +56,7 @@ def test_islands_fill_short_gaps(spark):
 
 
 @pytest.mark.parametrize("sentence, words", [
-    ("fire without smoke", ["fire"]), ("smoke is absent, fire", ["is", "absent", "fire"]), ("maybe sparks. dust", ["dust"]), ("no rain but snow", ["snow"]), ("", []),
+    ("fire without smoke", ["fire"]), ("smoke is absent, fire", ["fire"]), ("possibly sparks. dust", ["dust"]), ("no rain but snow", ["snow"]), ("", []),
 ])
 def test_affirmed_words(spark, sentence, words):
     row = spark.createDataFrame([(sentence,)], "t string").select(text.affirmative_words(F.col("t")).alias("w")).first()
