@@ -15,10 +15,12 @@ empty table writes no file; other columns are ignored. Memory: one batch of text
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,9 @@ from assetlens.llm.runtime import fresh_path, id_and_text, materialize
 MAGIC = b"ALWM0001"
 BLOCK = 1 << 18
 DOCS_PER_SHARD = 4096
-CACHE = 120_000
+#: Entries of one generation of a cache.
+CACHE = 250_000
+GROUP = 2000
 MANIFEST = "path string, first_id long, part int, n_docs long, n_ids long"
 ROWS = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long, doc_no long"
 
@@ -220,29 +224,50 @@ class Shard:
 
 
 class Tokens:
-    """Ids of texts by the tokenizers library; distinct pieces are encoded once."""
+    """Ids of texts by the tokenizers library. Distinct pre-tokens are encoded once, distinct pieces put together once.
+
+    Both caches have two generations: a full one becomes the old one, from which what is met again moves back.
+    """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pattern, self.ids = regex.compile(pattern), {}
-
-    def prepare(self, texts) -> None:
+        self.pattern = regex.compile(pattern)
+        self.ids: dict[str, bytes] = {}
+        self.old_ids: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def learn(self, new: set[str]) -> None:
+        cuts = {p: self.pattern.findall(p) for p in new}
+        if len(self.words) > CACHE:
+            self.old_words, self.words = self.words, {}
+        words = {w for ws in cuts.values() for w in ws} - self.words.keys()
+        again = words & self.old_words.keys()
+        self.words.update((w, self.old_words[w]) for w in again)
+        fresh = list(words - again)
+        for start in range(0, len(fresh), GROUP):  # the library's results are large, so few at a time
+            part = fresh[start:start + GROUP]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.words[w] = array("H", e.ids).tobytes()
+        for p, ws in cuts.items():
+            self.ids[p] = b"".join(map(self.words.__getitem__, ws))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; texts with strings of special tokens go to the library whole."""
+        split = [None if any(s in t for s in self.special) else pieces(t, self.pattern) for t in texts]
         if len(self.ids) > CACHE:
-            self.ids = {}
-        new: set[str] = set()
-        for t in texts:
-            new.update(pieces(t, self.pattern))
-        new = [p for p in new - self.ids.keys() if not any(s in p for s in self.special)]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.ids[p] = np.array(e.ids, "<u2").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
-        return np.frombuffer(b"".join(map(self.ids.__getitem__, pieces(text, self.pattern))), "<u2")
+            self.old_ids, self.ids = self.ids, {}
+        new = set().union(*filter(None, split)) - self.ids.keys()
+        again = new & self.old_ids.keys()
+        self.ids.update((p, self.old_ids[p]) for p in again)
+        self.learn(new - again)
+        return [
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2") if ps is None else np.frombuffer(b"".join(map(self.ids.__getitem__, ps)), "<u2")
+            for t, ps in zip(texts, split)
+        ]
 
 
 _TOKENS: dict[tuple, Tokens] = {}
@@ -254,15 +279,15 @@ def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, fol
     parts = max(1, -(-body.count() // DOCS_PER_SHARD))  # the count reads no column
 
     def batches(frames):
+        gc.disable()  # a collection walks every piece of the caches; one at the end of a task is enough
         own = _TOKENS.get((tokenizer, pattern)) or _TOKENS.setdefault((tokenizer, pattern), Tokens(tokenizer, pattern))
         end = np.array([end_id], "<u2")
         writer, n = Writer(), 0
         for frame in frames:
             ids, texts = [None if pd.isna(i) else int(i) for i in frame["doc_id"].astype("Int64").array], frame["text"].tolist()
-            for start in range(0, len(texts), 1000):
-                own.prepare(texts[start:start + 1000])
-                for i, t in zip(ids[start:start + 1000], texts[start:start + 1000]):
-                    writer.add(i, np.concatenate((own.encode(t), end)))
+            for start in range(0, len(texts), 500):
+                for i, x in zip(ids[start:start + 500], own.encode_all(texts[start:start + 500])):
+                    writer.add(i, np.concatenate((x, end)))
                     n += 1
         if n:
             path = f"{folder}/{uuid.uuid4().hex}.wm"
@@ -272,6 +297,8 @@ def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, fol
             with fs.open_output_stream(inner) as f:
                 f.write(data)
             yield pd.DataFrame([(path, writer.docs[0], 0, n, sum(writer.lengths))], columns=["path", "first_id", "part", "n_docs", "n_ids"]).astype({"first_id": "Int64"})
+        gc.enable()
+        gc.collect()
 
     files = body.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(batches, MANIFEST)
     return materialize(files.withColumn("part", F.spark_partition_id()), "wavelet-manifest")
