@@ -53,6 +53,24 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     raise RuntimeError("components did not settle")
 
 
+def separate(clusters: DataFrame, lists: DataFrame) -> DataFrame:
+    """(node, component) after lists of nodes that must not share a cluster: (list_no, pos, node), in order of list_no.
+
+    Of a list's nodes that are still together in a cluster, the first stays and each other one becomes a cluster of its
+    own, which later lists no longer touch. Nodes without a cluster are ignored. What is gathered for a cluster is what
+    its lists name. A cluster's label is the least of its remaining nodes.
+    """
+    named = clusters.select("node", "component").join(lists.select("list_no", "pos", "node"), "node")
+    of_list = named.groupBy("component", "list_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("nodes")).filter(F.size("nodes") > 1)
+    of_cluster = of_list.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("list_no", "nodes"))).alias("lists"))
+    none = F.slice(F.element_at("lists", 1)["nodes"], 1, 0)
+    gone = F.aggregate("lists", none, lambda out, x: F.array_union(out, F.slice(F.array_except(x["nodes"], out), 2, 1 << 30)))
+    moved = of_cluster.select(F.explode(gone).alias("node"), F.lit(True).alias("moved"))
+    marked = clusters.select("node", "component").join(moved, "node", "left")
+    labels = marked.filter("moved IS NULL").groupBy("component").agg(F.min("node").alias("label"))
+    return marked.join(labels, "component").select("node", F.when(F.col("moved"), F.col("node")).otherwise(F.col("label")).alias("component"))
+
+
 def primary_pick(rows: DataFrame, key: str, scores: list[str], order: str) -> DataFrame:
     """The row of greatest score tuple in each key, the first in order of ties: one partial aggregation, no window."""
     best = F.max(F.struct(*scores, (-F.col(order)).alias("_order"))).alias("best")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetlens.functions import media, text
-from assetlens.operators import catalog, discover, gate, link, ratings, search, timing
+from assetlens.operators import annotate, catalog, discover, escalate, facets, gate, link, ratings, search, timing
 from assetlens.sources.tables import table
 from assetlens.streaming.votes import windowed_counts
 
@@ -300,3 +300,96 @@ def q40_page_discovery(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def q41_event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return windowed_counts(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+_QUEUE = """WITH RECURSIVE n AS (SELECT doc_id AS node, md5(text) AS print, source || ':' || n_chars AS family FROM documents),
+  ids AS (SELECT node, 'p' || print AS i FROM n UNION ALL SELECT node, 'f' || family FROM n),
+  e AS (SELECT DISTINCT a.node AS a, b.node AS b FROM ids a JOIN ids b USING (i)),
+  r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+  c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a),
+  g AS (SELECT component, min(node) AS doc_id, count(*) AS n_members FROM c LEFT JOIN labels ON labels.doc_id = node GROUP BY component HAVING NOT bool_or(coalesce(toxic = 1, false)))
+  SELECT doc_id, substr(sha256(component::VARCHAR), 1, 16) AS group_id, n_members, row_number() OVER (ORDER BY md5('42:' || component), component) AS rank FROM g QUALIFY rank <= 200"""
+
+
+@query(_QUEUE)
+def q32_annotation_queue(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("print"), F.concat_ws(":", "source", F.col("n_chars").cast("string")).alias("family"))
+    rows = docs.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return annotate.annotation_queue(rows, "doc_id", ["print", "family"], F.col("toxic") == 1, seed=42, limit=200)
+
+
+@query("""WITH RECURSIVE f AS (SELECT p_partkey AS k, p_size AS size, CAST(p_retailprice AS DOUBLE) AS price, list_sort(['brand:' || p_brand, 'type:' || p_type, 'size:' || CASE WHEN p_size <= 5 THEN 'short' WHEN p_size <= 15 THEN 'medium' ELSE 'long' END]) AS fs FROM part),
+  g AS (SELECT 0 AS rank, -1::BIGINT AS k, 0 AS n_new, []::VARCHAR[] AS seen, []::BIGINT[] AS picked UNION ALL
+    SELECT g.rank + 1, f.k::BIGINT, len(list_filter(fs, lambda x: NOT list_contains(seen, x)))::INTEGER, list_distinct(list_concat(seen, fs)), list_append(picked, f.k::BIGINT) FROM g, f WHERE g.rank < 40 AND NOT list_contains(picked, f.k)
+    QUALIFY row_number() OVER (ORDER BY len(list_filter(fs, lambda x: NOT list_contains(seen, x))) DESC, size DESC, price DESC, f.k DESC) = 1)
+  SELECT k AS p_partkey, rank, n_new FROM g WHERE rank > 0""")
+def q33_diverse_subset(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    size = F.when(F.col("p_size") <= 5, "size:short").when(F.col("p_size") <= 15, "size:medium").otherwise("size:long")
+    features = F.array(F.concat(F.lit("brand:"), "p_brand"), F.concat(F.lit("type:"), "p_type"), size)
+    return annotate.diverse_subset(part, "p_partkey", features, [F.col("p_size"), F.col("p_retailprice").cast("double")], 40)
+
+
+@query("""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1), lambda w: CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS INTEGER)) AS spots FROM documents),
+  b AS (SELECT doc_id, list_transform(range(64), lambda b: len(list_filter(spots, lambda x: x = b))) AS counts FROM t)
+  SELECT doc_id, array_to_string(counts, ',') AS counts, round(coalesce(list_max(list_transform(counts, lambda c: c / nullif(sqrt(list_sum(list_transform(counts, lambda x: x * x))), 0))), 0), 6) AS peak FROM b""")
+def q35_hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", text.bucket_counts(text.tokens(F.col("text"))).alias("counts"))
+    return rows.select("doc_id", F.array_join("counts", ",").alias("counts"), F.round(F.array_max(text.unit_vector(rows["counts"])), 6).alias("peak"))
+
+
+@query("""SELECT p_partkey, CASE WHEN n LIKE '%slow%' THEN 'slow' WHEN n LIKE '%fast%' OR n LIKE '%quick%' THEN 'fast' WHEN s >= 5 THEN 'slow' WHEN s > 0 AND s <= 1.5 THEN 'fast' ELSE 'medium' END AS speed,
+  CASE WHEN n LIKE '%left%' THEN 'left' WHEN n LIKE '%right%' THEN 'right' WHEN n LIKE '%up%' THEN 'up' WHEN n LIKE '%down%' THEN 'down' WHEN n LIKE '%radial%' THEN 'radial' WHEN n LIKE '%expand%' THEN 'expanding' ELSE 'no_dominant' END AS direction,
+  CASE WHEN n LIKE '%ring%' OR n LIKE '%wheel%' THEN 'turning' WHEN n LIKE '%bolt%' THEN 'fixed' ELSE 'unknown' END AS turn, CASE WHEN n LIKE '%ring%' OR n LIKE '%wheel%' OR n LIKE '%bolt%' THEN 0.25 ELSE 0.1 END::DOUBLE AS confidence
+  FROM (SELECT p_partkey, lower(p_name) AS n, p_size / 5.0 AS s FROM part)""")
+def q42_motion_facets(spark: SparkSession, sf: str) -> DataFrame:
+    name, seconds = F.lower("p_name"), F.col("p_size") / 5.0
+    turn = facets.keyword_facet(name, {"turning": ["ring", "wheel"], "fixed": ["bolt"]})
+    return table(spark, sf, "part").select("p_partkey", facets.name_speed(name, seconds).alias("speed"), facets.name_direction(name).alias("direction"), turn["value"].alias("turn"), turn["confidence"].alias("confidence"))
+
+
+@query("""SELECT p_partkey, translate(CASE WHEN p_type = 'ECONOMY' THEN 'element' ELSE lower(p_type) END, '_', ' ') || ' element inferred from ''' || p_name || ''', ' ||
+  CASE WHEN p_partkey % 7 = 0 THEN 'unknown resolution' ELSE (p_size * 150) || 'x' || (p_size * 84) END || ', ' || format('{:.2f}s', p_size / 5.0::DOUBLE) || ', ' || CASE WHEN p_size > 25 THEN 'soft-alpha plate-ready' ELSE 'no verified alpha' END ||
+  '. Fallback motion read: ' || CASE WHEN p_size % 2 = 0 THEN 'speed slow' ELSE 'motion not yet analysed' END || '.' AS caption FROM part""")
+def q43_fallback_caption(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("p_type") == "ECONOMY", "unknown").otherwise(F.lower("p_type"))
+    width = F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") * 150)
+    motion = F.create_map(F.lit("speed"), F.when(F.col("p_size") % 2 == 0, "slow").otherwise(""))
+    caption = facets.fallback_caption(kind, F.col("p_name"), width, F.col("p_size") * 84, F.col("p_size") / F.lit(5.0), F.col("p_size") > 25, motion)
+    return table(spark, sf, "part").select("p_partkey", caption.alias("caption"))
+
+
+@query("SELECT conv_id, turn, accepted, score, n_candidates FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n_candidates FROM (SELECT conv_id, turn, coalesce(role = 'assistant', false) AS accepted, CAST(length(coalesce(text, '')) AS BIGINT) AS score FROM conversations)) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY accepted DESC, score DESC, turn) = 1")
+def q44_best_candidate(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("accepted"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("score"))
+    return escalate.best_candidate(rows, "conv_id", "turn")
+
+
+@query("""WITH r AS (SELECT p_partkey, p_size::DOUBLE AS d, coalesce(nullif((p_partkey % 20) / 100.0::DOUBLE, 0), 1.0) AS c, CAST(p_retailprice AS DOUBLE) / 1000 AS o, p_partkey % 5 AS n, p_partkey % 3 + 1 AS fps, (p_partkey % 10) / 10.0::DOUBLE AS conf FROM part)
+  SELECT p_partkey, array_to_string(list_filter([CASE WHEN d >= 12 AND c <= 0.08 AND coalesce(nullif(o, 0), d) <= greatest(1.5, d * 0.12) THEN 'activity_focus:narrow_action_window' END, CASE WHEN d >= 12 AND n >= 3 AND fps <= 2 THEN 'activity_focus:multiple_brief_events' END], lambda x: x IS NOT NULL), ',') AS dense,
+  CASE WHEN n = 0 THEN 'ultra_sampling:unparseable_dense_result' ELSE array_to_string(list_filter([CASE WHEN conf < 0.5 THEN 'ultra_sampling:very_low_dense_confidence' END, CASE WHEN conf + 0.2 < 0.6 THEN 'ultra_sampling:very_low_dense_completeness' END, CASE WHEN fps = 1 AND d >= 12 AND c <= 0.1 THEN 'ultra_sampling:short_action_missing_temporal_evidence' END], lambda x: x IS NOT NULL), ',') END AS ultra FROM r""")
+def q45_escalation_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    key, seconds = F.col("p_partkey"), F.col("p_size").cast("double")
+    covered, n, fps, sure = (key % 20) / F.lit(100.0), key % 5, key % 3 + 1, (key % 10) / F.lit(10.0)
+    dense = escalate.sampling_reasons(seconds, covered, F.col("p_retailprice").cast("double") / 1000, n, fps)
+    ultra = escalate.ultra_reasons(n != 0, sure, sure + 0.2, fps == 1, seconds, covered, threshold=0.7)
+    return table(spark, sf, "part").select("p_partkey", F.array_join(dense, ",").alias("dense"), F.array_join(ultra, ",").alias("ultra"))
+
+
+@query("WITH c AS (SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY text) AS component, row_number() OVER (PARTITION BY text, doc_id % 2 ORDER BY doc_id) > 1 AS moved FROM documents) SELECT node, CASE WHEN moved THEN node ELSE min(node) FILTER (NOT moved) OVER (PARTITION BY component) END AS component FROM c")
+def q46_separation(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("node"), F.md5("text").alias("print"))
+    clusters = docs.join(docs.groupBy("print").agg(F.min("node").alias("component")), "print")
+    return link.separate(clusters, docs.select((F.col("node") % 2).alias("list_no"), F.col("node").alias("pos"), "node"))
+
+
+@query("""WITH s AS (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events),
+  f AS (SELECT user_id, count(value) AS pairs, quantile_cont(value, 0.5) / 50 AS magnitude, var_pop(value) AS variance, quantile_cont(step, 0.5) AS step, arg_min(value, (ts, event_id)) AS a, arg_max(value, (ts, event_id)) AS b FROM s GROUP BY user_id)
+  SELECT user_id, pairs, round(magnitude, 6) AS magnitude, round(variance, 4) AS variance, round(step, 4) AS step, CASE WHEN b - a > 4 THEN 'building' WHEN b - a < -4 THEN 'dissipating' WHEN a IS NULL OR b IS NULL THEN 'steady' ELSE 'sustained' END AS arc,
+  round(greatest(0.25, least(0.9, 0.25 + least(0.5, magnitude / 3) + least(0.15, pairs / 160))), 6) AS confidence FROM f""")
+def q47_flow_summary(spark: SparkSession, sf: str) -> DataFrame:
+    f = facets.flow_summary(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", "value").withColumn("magnitude", F.col("magnitude") / 50)
+    return f.select(
+        "user_id", "pairs", F.round("magnitude", 6).alias("magnitude"), F.round("variance", 4).alias("variance"), F.round("step", 4).alias("step"),
+        facets.brightness_arc(F.col("start"), F.col("end")).alias("arc"), F.round(facets.flow_confidence(F.col("magnitude"), F.col("pairs"), F.lit(0.0)), 6).alias("confidence"),
+    )

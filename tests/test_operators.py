@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from assetlens.functions import text
-from assetlens.operators import catalog, discover, link, search, timing
+from assetlens.operators import annotate, catalog, discover, escalate, link, search, timing
 from assetlens.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -83,6 +83,38 @@ def test_snapshots(spark, tmp_path):
     assert catalog.read_snapshot(spark, root).count() == 5 and catalog.read_snapshot(spark, root, 0).count() == 3
 
 
+def test_separation_follows_the_order_of_lists(spark):
+    clusters = spark.createDataFrame([(n, 1) for n in (1, 2, 3, 4)] + [(9, 9)], "node long, component long")
+    lists = spark.createDataFrame([(0, 0, 2), (0, 1, 1), (1, 0, 1), (1, 1, 3), (2, 0, 3), (2, 1, 4), (2, 2, 77)], "list_no int, pos int, node long")
+    got = {r["node"]: r["component"] for r in link.separate(clusters, lists).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 9: 9}
+
+
+def test_diverse_subset_equals_greedy_choice(spark):
+    rnd = random.Random(9)
+    rows = [(i, [rnd.choice("abc"), rnd.choice("de"), rnd.choice("fghi")], rnd.randrange(3)) for i in range(30)]
+    left, seen, want = list(rows), set(), []
+    while len(want) < 12:
+        best = max(left, key=lambda r: (len(set(r[1]) - seen), r[2], r[0]))
+        want.append(best[0])
+        seen |= set(best[1])
+        left.remove(best)
+    frame = spark.createDataFrame(rows, "id long, fs array<string>, w int")
+    got = annotate.diverse_subset(frame, "id", F.col("fs"), [F.col("w")], 12).orderBy("rank").collect()
+    assert [r["id"] for r in got] == want
+    assert annotate.diverse_subset(frame.limit(0), "id", F.col("fs"), [F.col("w")], 12).count() == 0
+
+
+def test_stages_get_only_what_is_undecided(spark):
+    rows = spark.range(6).withColumnRenamed("id", "k")
+    first = lambda d: d.select("k", (F.col("k") < 2).alias("accepted"), F.lit(0.5).alias("score"))
+    second = lambda d: d.select("k", (F.col("k") < 4).alias("accepted"), F.lit(0.4).alias("score"))
+    made = escalate.run_stages(rows, "k", [("primary", first), ("dense", second)])
+    assert made.count() == 10
+    best = {r["k"]: (r["attempt"], r["accepted"]) for r in escalate.best_candidate(made, "k", "attempt").collect()}
+    assert best == {0: (0, True), 1: (0, True), 2: (1, True), 3: (1, True), 4: (0, False), 5: (0, False)}
+
+
 @pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
