@@ -61,14 +61,21 @@ def affirmative_words(text: Column) -> Column:
     return F.flatten(F.transform(words, affirmed))
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once a row; inside a lambda it would be worked out for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bucket_counts(words: Column, buckets: int = 64) -> Column:
     """Tokens in each hash bucket: the first 32 bits of a token's MD5, modulo the number of buckets."""
     at = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(at, lambda x: x == b)))
+    return _once(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(a, lambda x: x == b))))
 
 
 def unit_vector(counts: Column) -> Column:
     """Counts divided by their Euclidean norm; all zeros stay."""
-    exact = F.transform(counts, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(exact, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(exact, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    def scaled(exact: Column) -> Column:
+        norm = F.sqrt(F.aggregate(exact, F.lit(0.0), lambda s, x: s + x * x))
+        return _once(norm, lambda n: F.transform(exact, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+    return _once(F.transform(counts, lambda x: x.cast("double")), scaled)

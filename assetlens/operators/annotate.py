@@ -19,7 +19,7 @@ def annotation_queue(rows: DataFrame, key: str, identifiers: list[str], excluded
         F.min("node").alias(key), F.count("*").alias("n_members"), F.bool_or("excluded").alias("excluded"),
     )
     order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("component").cast("string"))), F.col("component")]
-    queue = groups.filter("NOT excluded").orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    queue = groups.filter("NOT excluded").orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return queue.select(key, F.substring(F.sha2(F.col("component").cast("string"), 256), 1, 16).alias("group_id"), "n_members", "rank")
 
 
