@@ -25,6 +25,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,8 @@ SLICE = 1 << 18
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _RANDOM = np.random.default_rng(20240917)
 _BYTES1, _BYTES2 = (_RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_SPACES = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_WIDE_SPACES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 class Powers:
@@ -132,6 +135,15 @@ def _probes(h: np.ndarray) -> np.ndarray:
     return np.stack([((h + np.uint64(i) * step * np.uint64(_B1)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64) for i in range(PROBES)])
 
 
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end, parted by what Unicode calls white space."""
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = _SPACES.take(np.frombuffer(data, np.uint8))
+    for m in () if data.isascii() else _WIDE_SPACES.finditer(data):
+        space[m.start() + 1:m.end() + 1] = True
+    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+
+
 def _utf8(column) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in column]
 
@@ -270,8 +282,11 @@ def covered(n: int, starts: np.ndarray, ranges: np.ndarray, length: int) -> np.n
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(every document with the digest ``tid`` of its text; for texts that lose bytes: tid and the kept bytes)."""
+def repeated_strings(docs: DataFrame, length: int = LENGTH, spans: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(every document with the digest ``tid`` of its text; for texts that lose bytes: tid and the kept bytes).
+
+    With ``spans``, the removed bytes of a text are given as (starts, ends) instead.
+    """
     if length < 2 * WINDOW:
         raise ValueError(f"a string has {2 * WINDOW} bytes at least")
     body = id_and_text(docs)
@@ -320,11 +335,16 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
             out = []
             for tid, raw, copies, done, starts in zip(frame["tid"], frame["raw"], frame["copies"], frame["done"], frame["starts"]):
                 mask = np.ones(len(raw), bool) if copies > 1 else covered(len(raw), np.array(starts if starts is not None else [], np.int64), _ranges(done), length)
-                spans = int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1]))
-                out.append((tid, int(mask.sum()), spans, np.frombuffer(raw, np.uint8)[~mask].tobytes()))
-            yield pd.DataFrame(out, columns=["tid", "n_removed", "n_spans", "kept"])
+                if spans:
+                    step = np.diff(mask.view(np.int8), prepend=0, append=0)
+                    out.append((tid, np.flatnonzero(step == 1), np.flatnonzero(step == -1)))
+                    continue
+                runs = int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1]))
+                out.append((tid, int(mask.sum()), runs, np.frombuffer(raw, np.uint8)[~mask].tobytes()))
+            yield pd.DataFrame(out, columns=["tid", "starts", "ends"] if spans else ["tid", "n_removed", "n_spans", "kept"])
 
-    return every, joined.select("tid", "raw", "copies", "done", "starts").mapInPandas(cut, "tid string, n_removed long, n_spans long, kept binary")
+    schema = "tid string, starts array<long>, ends array<long>" if spans else "tid string, n_removed long, n_spans long, kept binary"
+    return every, joined.select("tid", "raw", "copies", "done", "starts").mapInPandas(cut, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -337,25 +357,72 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def short_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
+    """(tid, starts, ends) of all runs of ``words`` whole words and under ``length`` bytes that occur twice, byte for byte.
+
+    Longer runs that occur twice hold a repeated string of ``length`` bytes at each place. Words are parted by white space.
+    """
+
+    def runs(frames):
+        for frame in frames:
+            texts, out = _utf8(frame["text"]), []
+            for group in slices(texts, 2 * words - 1):
+                sizes = np.array([len(texts[i]) + 1 for i in group])
+                data = b"\n".join(texts[i] for i in group)
+                begins = np.cumsum(sizes) - sizes
+                start, end = word_bounds(data)
+                n = max(0, len(start) - words + 1)
+                start, end = start[:n], end[words - 1:]
+                short = end - start < length
+                start, end = start[short], end[short]
+                owner = np.searchsorted(begins, start, side="right") - 1
+                inside = end <= begins[owner] + sizes[owner]
+                start, end, owner = start[inside], end[inside], owner[inside]
+                if len(start):
+                    t = Text(data, second=True)
+                    tids = {k: hashlib.sha256(texts[group[k]]).hexdigest() for k in np.unique(owner).tolist()}
+                    out.append(pd.DataFrame({"tid": [tids[k] for k in owner.tolist()], "start": start - begins[owner], "end": end - begins[owner], "h1": t.hash(start, end).view(np.int64), "h2": t.hash(start, end, 1).view(np.int64)}))
+            if out:
+                yield pd.concat(out)
+
+    found = materialize(id_and_text(docs).select("text").mapInPandas(runs, "tid string, start long, end long, h1 long, h2 long"), "short-passages")
+    twice = found.groupBy("h1", "h2").count().filter("count > 1").drop("count")
+    hits = found.join(twice, ["h1", "h2"]).select("tid", "start", "end").distinct()
+    return hits.groupBy("tid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """The documents with all their columns and without their repeated strings; n_chars, where there is one, follows the text.
 
-    A character of which a byte is removed goes as a whole. Documents that lose bytes and keep nothing but white space
-    go. Only documents that may lose bytes are shuffled.
+    With ``words``, repeated runs of so many words go too where they have fewer than ``length`` bytes. A character of which
+    a byte is removed goes as a whole. Documents that lose bytes and keep nothing but white space go. Only documents that
+    may lose bytes are shuffled.
     """
-    from assetlens.llm.ngram_join import bitmap_of, id_slots
+    import pyarrow as pa
 
-    _, lost = repeated_strings(docs, length)
+    from assetlens.llm.ngram_join import bitmap_of, id_slots
 
-    def decode(frames):
-        for frame in frames:
-            yield pd.DataFrame({"__tid": frame["tid"], "__text": [bytes(k).decode("utf-8", "ignore") for k in frame["kept"]]})
+    _, lost = repeated_strings(docs, length, spans=True)
+    if words:
+        both = lost.unionByName(short_passages(docs, length, words))
+        lost = both.groupBy("tid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    lost = materialize(lost.withColumnsRenamed({"tid": "__tid", "starts": "__starts", "ends": "__ends"}), "cut-spans")
+
+    def cut(arrow):
+        for batch in arrow:
+            kept = []
+            for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "__starts", "__ends"))):
+                if starts is not None:
+                    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                    edge = np.bincount(starts, minlength=len(raw) + 1) - np.bincount(ends, minlength=len(raw) + 1)
+                    text = raw[np.cumsum(edge[:-1]) == 0].tobytes().decode("utf-8", "ignore")
+                kept.append(text)
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.string())).drop_columns(["__starts", "__ends"])
 
-    lost = materialize(lost.select("tid", "kept").mapInPandas(decode, "__tid string, __text string"), "cut-texts")
     tid = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     some, rest = split_by_bitmap(docs, F.xxhash64(tid), bitmap_of(lost.select(F.xxhash64("__tid").alias("id"))), id_slots)
-    some = some.withColumn("__key", tid).join(lost, F.col("__key") == F.col("__tid"), "left").filter("__tid IS NULL OR trim(__text) <> ''")
-    some = some.withColumn("text", F.coalesce("__text", "text"))
+    some = some.withColumn("__key", tid).join(lost, F.col("__key") == F.col("__tid"), "left").drop("__key")
+    some = some.mapInArrow(cut, some.drop("__starts", "__ends").schema).filter("__tid IS NULL OR trim(text) <> ''")
     if "n_chars" in docs.columns:
         some = some.withColumn("n_chars", F.when(F.col("__tid").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rest.unionByName(some.select(*docs.columns))

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from assetlens.llm import bpe, contamination, ngram_join, quality, suffix_dedup
 from assetlens.llm.runtime import materialize, table
 
-#: Bytes of a repeated passage; shorter than 50 words of prose.
-PASSAGE_BYTES = 256
+#: A repeated passage has so many bytes or, where these are fewer, over 50 words.
+PASSAGE_BYTES, PASSAGE_WORDS = 256, 51
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cut_repeats(docs, PASSAGE_BYTES)
+    return suffix_dedup.cut_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

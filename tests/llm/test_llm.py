@@ -114,6 +114,21 @@ def test_op3_equals_brute_force(spark, hard):
     assert cut.columns == ["doc_id", "text", "head", "size", "node"] and cut.filter("doc_id = 4").first()["text"] == "one two"
 
 
+def test_pipeline_cuts_51_short_words(spark):
+    """Repeated passages of over 50 words go whatever their bytes; 50 words in fewer than 256 bytes stay."""
+    rnd = random.Random(12)
+    short = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(1, 4))) for _ in range(n))
+    more, fewer, least = short(51), short(50), " ".join(rnd.choice("abcdefghijklmnop") for _ in range(51))
+    wide = "\u2003".join(least.split()[::-1])
+    assert len(least) == 101 and max(len(more), len(wide.encode())) < 256
+    alone = [words(rnd, 60) for _ in range(9)]
+    texts = [f"{alone[0]} {more} {alone[1]}", f"{alone[2]}\n{more}", more, f"{alone[3]} {fewer} {alone[4]}", f"{fewer} {alone[5]}", f"{alone[6]} {least}", f"{least} é", f"{wide} {alone[7]}", f"é {wide}", f"{alone[8]} {more.replace(' ', '  ')}", None]
+    rows = [(i, t, "h", 1, "n") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_passages(spark, frame(spark, rows), SF).collect()}
+    want = {0: f"{alone[0]}  {alone[1]}", 1: f"{alone[2]}\n", 5: f"{alone[6]} ", 6: " é", 7: f" {alone[7]}", 8: "é "}
+    assert got == {i: want.get(i, t) for i, t in enumerate(texts) if i != 2}
+
+
 def test_op4_payload_survives(spark, hard):
     for r in media.store_texts(frame(spark, hard)).collect():
         text = next(t for i, t, *_ in hard if i == r["doc_id"]) or ""
