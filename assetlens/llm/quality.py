@@ -5,8 +5,8 @@ of the line before and after it. The field is trained by gradient ascent on labe
 the document's label; forward-backward gives each line's marginal, and a document's score is the mean marginal of
 "good" weighted by line length. Features come from whole texts; doc_id, lang, source and labels are never features.
 
-Training reads at most TRAIN_DOCS labelled documents (the least by a hash of their id, so a rerun picks the same) and of
-each at most TRAIN_CHARS characters; scoring reads everything. Only rows whose crc32(doc_id as text) mod 3 is not 1 are
+Training reads the whole texts of at most TRAIN_DOCS labelled documents (the least by a hash of their id, so a rerun picks
+the same); scoring reads everything. Only rows whose crc32(doc_id as text) mod 3 is not 1 are
 ever used for training.
 
 Edge cases: null text is empty and is one empty line; null doc_id is not held out; without usable labels every score is
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from assetlens.llm.runtime import id_and_text
 
 TRAIN_DOCS = 3000
-TRAIN_CHARS = 6000
 STEPS = 250
 BATCH_BYTES = 4_000_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_lines long, bad_chars double"
@@ -145,11 +144,10 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The model, or None where there is no usable label. Brings at most TRAIN_DOCS texts of TRAIN_CHARS to the driver."""
+    """The model, or None where there is no usable label. Brings at most TRAIN_DOCS texts to the driver."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
     ids = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    body = id_and_text(docs).select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    rows = body.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(TRAIN_DOCS).collect()  # ids has at most TRAIN_DOCS rows
+    rows = id_and_text(docs).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(TRAIN_DOCS).collect()  # ids has at most TRAIN_DOCS rows
     if len({r["quality"] for r in rows}) < 2:
         return None
     return train([r["text"] for r in rows], np.array([r["quality"] for r in rows]))

@@ -189,6 +189,19 @@ def test_op6_held_out_accuracy(spark, hard):
     assert all(r["score"] == 0.5 for r in quality.classify(frame(spark, hard), labels_of(spark, [])).collect())
 
 
+def test_op6_learns_from_what_stands_late_in_a_text(spark):
+    """Bad documents whose first 8,000 characters are as clean as those of the good ones."""
+    rnd = random.Random(13)
+    clean = lambda n: "\n".join(words(rnd, 12).capitalize() + "." for _ in range(n))
+    junk = lambda n: "\n".join("#$% 0|1 || " * rnd.randint(2, 6) for _ in range(n))
+    heads = [clean(180) for _ in range(40)]
+    assert min(map(len, heads)) > 8000
+    rows = [(i, t + "\n" + (junk if i % 2 else clean)(300), "", 1, "") for i, t in enumerate(heads)]
+    probes = [(1000 + i, (junk if i % 2 else clean)(20), "", 1, "") for i in range(10)]
+    got = {r["doc_id"]: r["predicted"] for r in quality.classify(frame(spark, rows + probes), labels_of(spark, [(i, 1 - i % 2, 0) for i in range(40)])).collect()}
+    assert [got[1000 + i] for i in range(10)] == [1 - i % 2 for i in range(10)]
+
+
 def brute_marginals(unary, trans):
     n = len(unary)
     weight = {}
