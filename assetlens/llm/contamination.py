@@ -1,7 +1,9 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts and benchmark items are lower-cased and their white space is collapsed. An item is covered by windows of at most
-WINDOW characters, half overlapping, each with an edit budget k of ERRORS of its length. By the q-gram lemma a text region
+WINDOW characters, half overlapping, each with an edit budget k of ERRORS of its length, and if it is longer than SHORT
+by windows of SHORT characters at each STRIDE characters, so a verbatim quotation of SHORT + STRIDE - 1 characters holds one
+whole wherever it starts. By the q-gram lemma a text region
 within k edits of a window of m characters shares at least m - q + 1 - k q of its q-grams, all within k neighbouring
 diagonals (text position minus window position). So hits are counted in diagonal bands of twice BAND, each overlapping
 half of the next (BAND > k): a region is retained where a band reaches the bound. Every retained region is verified by an
@@ -10,13 +12,17 @@ edit distance between the whole window and any substring of the region, computed
 The items go to the executors in blocks of at most BLOCK_CHARS characters, one narrow pass over the documents for each
 block, so what is shipped has a fixed bound and no row is shuffled.
 
-Edge cases: null text is empty and clean; items that have fewer than MIN_CHARS characters after normalising can't be told
-from chance and are ignored; null item texts are ignored; equal items are all reported; an empty benchmark leaves every
+Items of fewer than MIN_CHARS characters after normalising, too short for the lemma, are searched as they are: exactly, and
+not within words (letters of scripts without word spaces stand for themselves).
+
+Edge cases: null text is empty and clean; null and blank item texts are ignored; equal items are all reported; an empty benchmark leaves every
 document clean; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +32,8 @@ from assetlens.llm.runtime import id_and_text
 
 Q = 8
 WINDOW = 96
+SHORT = 64
+STRIDE = 16
 ERRORS = 0.1
 BAND = 16
 MIN_CHARS = 32
@@ -35,6 +43,8 @@ MIN_SHARED = 17
 _BASE = 0x9E3779B1
 _SLOTS = 22
 _COUNTERS = 17
+#: A letter or digit of a script that puts spaces between words.
+_LETTER = re.compile(r"[^\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalise(text: str) -> str:
@@ -57,10 +67,10 @@ def qgrams(c: np.ndarray) -> np.ndarray:
 
 
 def windows(item: str) -> list[tuple[int, str]]:
-    if len(item) <= WINDOW:
-        return [(0, item)]
-    starts = [*range(0, len(item) - WINDOW, WINDOW // 2), len(item) - WINDOW]
-    return [(s, item[s:s + WINDOW]) for s in starts]
+    n = len(item)
+    wide = [0] if n <= WINDOW else [*range(0, n - WINDOW, WINDOW // 2), n - WINDOW]
+    dense = [] if n <= SHORT else [*range(0, n - SHORT, STRIDE), n - SHORT]
+    return [(s, item[s:s + WINDOW]) for s in wide] + [(s, item[s:s + SHORT]) for s in dense]
 
 
 def budget(m: int) -> int:
@@ -72,7 +82,8 @@ class Index:
     """Windows of a block of items by their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        found = [(i, w) for i, t in items if len(n := normalise(t)) >= MIN_CHARS for _, w in windows(n)]
+        plain = [(i, normalise(t)) for i, t in items]
+        found = [(i, w) for i, n in plain if len(n) >= MIN_CHARS for _, w in windows(n)]
         self.item = np.array([i for i, _ in found], np.int64)
         self.codes = [codes(w) for _, w in found]
         self.k = np.array([budget(len(c)) for c in self.codes], np.int64)
@@ -86,6 +97,29 @@ class Index:
         self.count = np.bincount(flat, minlength=1 << _SLOTS).astype(np.int32)
         self.first = np.cumsum(self.count, dtype=np.int32) - self.count
         self.gate = self.count > 0
+        # Short items by the slot of their first q-gram, and those that have none.
+        self.exact: dict[int, list[tuple[int, str]]] = {}
+        self.tiny = [(i, n) for i, n in plain if 0 < len(n) < Q]
+        for i, n in plain:
+            if Q <= len(n) < MIN_CHARS:
+                self.exact.setdefault(int(qgrams(codes(n))[0]), []).append((i, n))
+        self.opens = np.zeros(1 << _SLOTS if self.exact else 0, bool)
+        self.opens[list(self.exact)] = True
+
+    def verbatim(self, text: str) -> set[tuple[int, int]]:
+        """(place, item) of every short item that stands in the text, not within a word."""
+        tried = []
+        if self.exact:
+            h = qgrams(codes(text))
+            for p in np.flatnonzero(self.opens.take(h)).tolist():
+                tried += [(p, i, n) for i, n in self.exact[int(h[p])] if text.startswith(n, p)]
+        for i, n in self.tiny:
+            p = text.find(n)
+            while p >= 0:
+                tried.append((p, i, n))
+                p = text.find(n, p + 1)
+        within = lambda a, b: 0 <= b < len(text) and _LETTER.match(text[a]) and _LETTER.match(text[b])
+        return {(p, i) for p, i, n in tried if not within(p, p - 1) and not within(p + len(n) - 1, p + len(n))}
 
     def candidates(self, text: np.ndarray) -> np.ndarray:
         """(window, first diagonal of its band) of every region that meets the lemma's bound."""
@@ -143,7 +177,7 @@ class Index:
     def find(self, texts: list[str]) -> list[list[int]]:
         """Sorted items that each text holds."""
         out: list[list[int]] = [[] for _ in texts]
-        if not len(self.item):
+        if not len(self.item) and not self.exact and not self.tiny:
             return out
         start = 0
         while start < len(texts):
@@ -153,8 +187,11 @@ class Index:
                 size += len(parts[-1]) + WINDOW
                 stop += 1
             # Noncharacters between texts, more than a window of them, so no region spans two.
-            text = codes(("￿" * (WINDOW + 2 * BAND)).join(parts))
+            joined = ("￿" * (WINDOW + 2 * BAND)).join(parts)
+            text = codes(joined)
             begins = np.cumsum([0, *[len(p) + WINDOW + 2 * BAND for p in parts[:-1]]])
+            for o, i in {(int(np.searchsorted(begins, p, side="right")) - 1, i) for p, i in self.verbatim(joined)}:
+                out[start + o].append(i)
             region = self.candidates(text)
             if len(region):
                 region = region[self.distance(text, region) <= self.k[region[:, 0]]]

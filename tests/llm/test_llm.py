@@ -85,6 +85,24 @@ def test_op2_finds_edited_passages_only(spark, hard):
     assert contamination.flag(frame(spark, hard), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_op2_finds_quotations_and_short_items(spark):
+    rnd = random.Random(14)
+    item = words(rnd, 90)
+    items = [(1, item), (2, "What is the capital of France?"), (3, "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc"), (4, "zq"), (5, " "), (6, "Zq  zq zq?"), (7, "zq")]
+    quotes = [item[s:s + n].strip() for n in (81, 100, 124) for s in range(0, 200, 7)]
+    short = [("so what IS the\ncapital of france? ok", "2"), ("\u8bf7\u95ee\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\u5462", "3"), ("a zqa bzq", ""), ("zq.", "4,7"), ("a zq zq zq?", "4,6,7"), ("somewhat is the capital of france?", ""), ("what is the capital of francs?", ""), ("", "")]
+    rows = [(i, words(rnd, 50) + " " + q + " " + words(rnd, 50), "", 1, "") for i, q in enumerate(quotes)]
+    rows += [(1000 + i, words(rnd, 50), "", 1, "") for i in range(20)] + [(2000 + i, t, "", 1, "") for i, (t, _) in enumerate(short)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in contamination.flag(frame(spark, rows), bench).collect()}
+    assert all(got[i] == "1" for i in range(len(quotes))) and not any(got[1000 + i] for i in range(20))
+    assert [got[2000 + i] for i in range(len(short))] == [want for _, want in short]
+    only = {r["doc_id"]: r["items"] for r in contamination.flag(frame(spark, rows), bench.filter("item_id > 1")).collect()}
+    assert [only[2000 + i] for i in range(len(short))] == [want for _, want in short] and not any(only[i] for i in range(len(quotes)))
+    kept = {r["doc_id"] for r in contamination.drop_contaminated(frame(spark, rows), bench).collect()}
+    assert kept == {i for i, x in got.items() if not x}
+
+
 def brute_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i:i + length] for b in raw for i in range(len(b) - length + 1))
