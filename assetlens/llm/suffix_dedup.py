@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by a distributed difference-cover suffix sort over a locally consistent parse.
+"""Exact removal of repeated byte strings by distributed difference-cover naming over a locally consistent parse.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or another.
 
@@ -9,11 +9,11 @@ A byte is removed if a string of ``length`` bytes that covers it also starts any
    behind it matters). Equal texts are one string.
 2. Difference cover. Positions 1 and 2 mod 3 of a string are sampled; their triples of phrase names are sorted, named in that
    order, and the names are the strings of the next level, until a name stands for ``length`` bytes. The suffixes at
-   position 0 mod 3 are merged by (name, class of the next sampled suffix) or (two names, class of the one after),
+   position 0 mod 3 are joined to classes by (name, class of the next sampled suffix) or (two names, class of the one after),
    whichever the other suffix shares.
 3. Neighbours. Suffixes of one class that also agree on what stands before the anchor share all their strings, which are
-   resolved at once; only one of them, and suffixes that stand alone, compare the ``length``-byte prefixes of the strings
-   that start before the anchor. A prefix that occurs twice is a repeat.
+   resolved at once; only for one of them, and for suffixes that stand alone, the ``length``-byte prefixes of the strings
+   that start before the anchor are hashed and grouped. A prefix that occurs twice is a repeat. No suffix order is made.
 
 Text is shuffled only for texts that hold a possible repeat. Hashes are 64 bits for classes and 128 for prefixes.
 
