@@ -95,6 +95,65 @@ SENTENCES = [
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)?[0-9]{2})*", 10, 0.30),
 ]
 
+_GNU = "as published by the free software foundation"
+_CC = {"cc-by": "", "cc-by-nc": " noncommercial", "cc-by-nc-nd": " noncommercial no ?deriv(?:s|atives)", "cc-by-nc-sa": " noncommercial share ?alike", "cc-by-nd": " no ?deriv(?:s|atives)", "cc-by-sa": " share ?alike"}
+# Written notices, headers and sentences of bodies, each with the label, keyword, priority and confidence.
+NOTICES = [
+    ("0bsd", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", 83, 0.95),
+    ("afl-3", "authorship", "this academic free license the license applies to any original work of authorship", 92, 0.97),
+    ("agpl-3", "affero", f"gnu affero general public license {_GNU}(?: either)? version 3", 92, 0.98),
+    ("agpl-3", "affero", "gnu affero general public license version 3 19 november 2007", 92, 0.99),
+    ("apache-1", "apache", "this product includes software developed by the apache (?:software foundation|group)", 82, 0.9),
+    ("apache-2", "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 92, 0.99),
+    ("apache-2", "apache", "licensed to the apache software foundation asf under one or more contributor license agreements", 88, 0.95),
+    ("apache-2", "apache", "(?:www )?apache org licenses license 2 0", 88, 0.95),
+    ("artistic-1", "package", "the intent of this document is to state the conditions under which a package may be copied", 88, 0.95),
+    ("artistic-2", "package", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", 88, 0.97),
+    ("bsd-3-clause", "endorse", "neither the name of(?: \\S+){1,20}? nor the names of its contributors may be used to endorse or promote products", 81, 0.9),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 83, 0.95),
+    ("bsl-1", "boost", "distributed under the boost software license version 1 0 see accompanying file", 92, 0.98),
+    ("cc0", "deed", "the person who associated a work with this deed has dedicated the work to the public domain", 88, 0.97),
+    ("cc0", "waived", "to the extent possible under law(?: \\S+){1,20}? waived all copyright and related or neighboring rights", 88, 0.95),
+    *[(label, "creative", f"licensed under (?:a|the) creative commons attribution{more} [1234] [05] (?:international|unported|generic|\\S+) licen[sc]e", 92, 0.98) for label, more in _CC.items()],
+    *[(label, "creativecommons", f"creativecommons org licenses {label[3:].replace('-', ' ')} [1234] [05]", 88, 0.96) for label in _CC],
+    ("cddl-1", "development", "subject to the terms of the common development and distribution license", 88, 0.95),
+    ("cecill-2", "cecill", "governed by the cecill license under french law and abiding by the rules of distribution of free software", 88, 0.95),
+    ("cpl-1", "accompanying", "the accompanying program is provided under the terms of this common public license", 88, 0.96),
+    ("ecl-2", "educational", "licensed under the educational community license version 2 0 the license you may not use this file except in compliance", 92, 0.98),
+    ("epl-1", "eclipse", "made available under the terms of the eclipse public license (?:version |v ?)?1 0", 92, 0.98),
+    ("epl-2", "eclipse", "made available under the terms of the eclipse public license (?:version |v ?)?2 0", 92, 0.98),
+    ("eupl-1", "eupl", "this european union public licence the eupl applies to the work", 88, 0.96),
+    ("gfdl-1", "documentation", "copy distribute and or modify this document under the terms of the gnu free documentation license", 88, 0.97),
+    ("gpl-1", "gnu", f"gnu general public license {_GNU}(?: either)? version 1", 92, 0.97),
+    ("gpl-2", "gnu", f"gnu general public license {_GNU}(?: either)? version 2", 92, 0.98),
+    ("gpl-3", "gnu", f"gnu general public license {_GNU}(?: either)? version 3", 92, 0.98),
+    ("gpl-1", "gnu", "gnu general public license version 1 february 1989", 92, 0.99),
+    ("gpl-2", "gnu", "gnu general public license version 2 june 1991", 92, 0.99),
+    ("gpl-3", "gnu", "gnu general public license version 3 29 june 2007", 92, 0.99),
+    ("isc", "fee", "with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 81, 0.95),
+    ("lgpl-2", "gnu", f"gnu (?:lesser|library) general public license {_GNU}(?: either)? version 2(?: 1)?", 92, 0.98),
+    ("lgpl-3", "gnu", f"gnu lesser general public license {_GNU}(?: either)? version 3", 92, 0.98),
+    ("lgpl-2", "gnu", "gnu lesser general public license version 2 1 february 1999", 92, 0.99),
+    ("lgpl-3", "gnu", "gnu lesser general public license version 3 29 june 2007", 92, 0.99),
+    ("lppl-1", "latex", "distributed and or modified under the conditions of the latex project public license", 88, 0.96),
+    ("mit", "sublicense", "use copy modify merge publish distribute sublicense and or sell copies of the software", 78, 0.85),
+    ("mpl-1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 [01]", 92, 0.98),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 92, 0.99),
+    ("ms-pl", "microsoft", "microsoft public license ms pl this license governs use of the accompanying software", 92, 0.98),
+    ("ms-rl", "recipients", "for any file you distribute that contains code from the software in source code or binary format you must provide recipients the source code to that file", 88, 0.96),
+    ("ncsa", "deal", "to deal with the software without restriction including without limitation", 82, 0.93),
+    ("odbl-1", "database", "made available under the open database license", 88, 0.95),
+    ("ofl-1", "font", "this font software is licensed under the sil open font license version 1 [01]", 92, 0.99),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 88, 0.95),
+    ("osl-3", "authorship", "this open software license the license applies to any original work of authorship", 92, 0.97),
+    ("postgresql", "fee", "for any purpose without fee and without a written agreement is hereby granted", 83, 0.93),
+    ("psf-2", "python", "this license agreement is between the python software foundation psf and the individual or organization licensee", 88, 0.97),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 88, 0.97),
+    ("upl-1", "condition", "subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data", 88, 0.97),
+    ("wtfpl", "fuck", "you just do what the fuck you want to", 88, 0.95),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", 82, 0.95),
+]
+
 
 def cue(name: str) -> str:
     """The longest plain word of a name that tells it from others; without it the name can't match."""
@@ -123,7 +182,7 @@ def rule_table() -> list[tuple[str, str, list[str], str, int, float]]:
         ]
         if label.startswith("cc-"):  # these names stand alone with their version
             rules.append((label, "cc", [], f"{short} {version}", 45, 0.65))
-    rules += [(label, word, [], text, priority, confidence) for label, word, text, priority, confidence in SENTENCES]
+    rules += [(label, word, [], text, priority, confidence) for label, word, text, priority, confidence in SENTENCES + NOTICES]
     return sorted(rules, key=lambda r: (-r[4], r[0], r[3]))
 
 

@@ -249,6 +249,26 @@ def test_op7_places_and_suppression(spark, hard):
     assert licenses.scan_licenses(frame(spark, hard)).count() == len(hard) and len(licenses.rule_table()) > 200
 
 
+def test_op7_notices_and_bodies(spark):
+    cases = [
+        ("under the terms of the GNU Lesser General Public License as published by\n# the Free Software Foundation; either version 2.1 of the License", "lgpl-2"),
+        ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "agpl-3"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0", "epl-1"),
+        ("Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.", "apache-2"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        ("https://creativecommons.org/licenses/by-nc-nd/3.0/", "cc-by-nc-nd"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("All advertising materials mentioning features or use of this software must display the following acknowledgement:", "bsd-4-clause"),
+        ("The origin of this software must not be misrepresented; you must not claim that you wrote the original software.", "zlib"),
+        ("0. You just DO WHAT THE FUCK YOU WANT TO.", "wtfpl"),
+        ("the rules of the eclipse and the gnu in the package", ""),
+    ]
+    got = licenses.scan_licenses(frame(spark, [(i, t, "", 1, "") for i, (t, _) in enumerate(cases)])).orderBy("doc_id").collect()
+    assert [want in r["labels"].split(",") for r, (_, want) in zip(got, cases)] == [True] * len(cases)
+    assert {r["n_base"] for r in got} == {0} and {f[0] for f in licenses.FAMILIES} <= {label for label, *_ in licenses.NOTICES + licenses.SENTENCES}
+
+
 def test_op8_capacity_is_least_and_slots_are_gapless(spark, hard):
     rnd = random.Random(3)
     for _ in range(60):
