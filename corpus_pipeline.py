@@ -44,7 +44,7 @@ STAGES = [
     ("byte_level_bpe", encode_tokens),
 ]
 
-#: SQL can't express training, a suffix sort or an edit distance over whole tables; the stages are tested by brute force.
+#: SQL can't express training, a suffix sort or an edit distance over whole tables; tests compare run() with plain Python.
 ORACLE_SQL = None
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -335,3 +336,56 @@ def test_pipeline_stages(spark):
         n = docs.count()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == n and last.filter("NOT round_trip").count() == 0 and last.filter(F.length("ids") != F.col("n_tokens") * 4).count() == 0
+
+
+def plain_cut(texts, length, n_words):
+    """Each text without the bytes of repeated strings and of repeated runs of words; None where nothing is left of a cut text."""
+    raw = [t.encode() for t in texts]
+    runs = [[m.span() for m in re.finditer(r"\S+", t)] for t in texts]
+    at = [np.cumsum([0, *(len(c.encode()) for c in t)]) for t in texts]
+    spans = [[(int(o[w[k][0]]), int(o[w[k + n_words - 1][1]])) for k in range(len(w) - n_words + 1)] for w, o in zip(runs, at)]
+    strings = Counter(b[i:i + length] for b in raw for i in range(len(b) - length + 1))
+    passages = Counter(b[x:y] for b, s in zip(raw, spans) for x, y in s)
+    out = []
+    for t, b, s in zip(texts, raw, spans):
+        mask = np.zeros(len(b), bool)
+        for x, y in [(i, i + length) for i in range(len(b) - length + 1) if strings[b[i:i + length]] > 1] + [(x, y) for x, y in s if passages[b[x:y]] > 1]:
+            mask[x:y] = True
+        kept = np.frombuffer(b, np.uint8)[~mask].tobytes().decode("utf-8", "ignore")
+        out.append(None if mask.any() and not kept.strip(" ") else kept)
+    return out
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """run() against the five stages in plain Python: ids, texts and token ids. Only the trained weights are shared."""
+    rnd = random.Random(15)
+    prose = lambda n: "\n".join(words(rnd, 12).capitalize() + "." for _ in range(n))
+    junk = lambda n: "\n".join("#$% 0|1 || " * rnd.randint(2, 6) for _ in range(n))
+    item, long, short = words(rnd, 40), words(rnd, 80), " ".join(rnd.choice("abcdefghij") for _ in range(60))
+    assert len(long) > 256 > len(short)
+    texts = [(junk if i % 3 == 0 else prose)(rnd.randint(4, 9)) for i in range(60)]
+    for i in (1, 4, 7):
+        texts[i] += "\n" + long + "\n" + prose(3)
+    for i in (2, 5):
+        texts[i] += "\n" + short + " " + prose(3)
+    for i in (8, 10):
+        texts[i] += "\n" + prose(1) + (item if i == 8 else item[20:110])
+    texts += [texts[11], texts[13] + " more", texts[14].replace(" ", "  ")]
+    ids = [7 * i + 1 for i in range(len(texts))]
+    labels = [(7 * i + 1, int(i % 3 > 0), 0) for i in range(60)]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    good = [(i, t) for i, t in zip(ids, texts) if "#$%" not in t]
+    groups = brute_components(good, 5, 80)
+    unique = [(i, t) for i, t in good if groups[i][1] == i]
+    cut = [(i, t) for (i, _), t in zip(unique, plain_cut([t for _, t in unique], 256, 51)) if t is not None]
+    flat = lambda t: " ".join(t.lower().split())
+    grams = {flat(item)[k:k + 79] for k in range(len(flat(item)) - 78)}
+    clean = [(i, t) for i, t in cut if not any(flat(t)[k:k + 79] in grams for k in range(len(flat(t)) - 78))]
+    assert len(texts) > len(good) > len(unique) >= len(cut) > len(clean) and dict(cut) != dict(unique)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    want = {i: np.array(enc.encode_ordinary(t), "<u4").tobytes() for i, t in clean}
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {r["doc_id"]: bytes(r["ids"]) for r in rows} == want
