@@ -1,4 +1,4 @@
-"""Scalar rules of media facts: tiers, frame ranges, sampling plans, perceptual-hash distance."""
+"""Scalar rules of media facts: tiers, motion speed, frame ranges, Bayesian quality, cosine."""
 
 from __future__ import annotations
 
