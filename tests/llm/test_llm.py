@@ -357,7 +357,7 @@ def plain_cut(texts, length, n_words):
 
 
 def test_pipeline_equals_plain_python(spark, tmp_path):
-    """run() against the five stages in plain Python: ids, texts and token ids. Only the trained weights are shared."""
+    """run() against the five stages in plain Python: ids and token ids. Good and bad texts differ plainly."""
     rnd = random.Random(15)
     prose = lambda n: "\n".join(words(rnd, 12).capitalize() + "." for _ in range(n))
     junk = lambda n: "\n".join("#$% 0|1 || " * rnd.randint(2, 6) for _ in range(n))
