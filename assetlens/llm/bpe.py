@@ -2,57 +2,75 @@
 
 The merge table holds, for every token and every way to cut it into two tokens, (left, right, rank). A batch's distinct
 pre-tokens become token-position rows; a recursive query joins neighbours with the merge table and contracts each word's
-minimum-rank pair, from the left and without overlap, until no pair of the word is in the table. (All places of the
-minimum pair go in one step: a merge can't bring forth a pair of lower rank, so the result is that of one place at a
-time, and a word needs as many steps as it has distinct merges.) Decoding joins ids with the vocabulary and aggregates
-the bytes in order.
+leftmost minimum-rank pair, until no pair of the word is in the table. Words that have come to that leave the recursion.
+Decoding joins ids with the vocabulary and aggregates the bytes in order.
+
+Words over LONG bytes (runs of one sign, for example) contract all places of the minimum pair in one step, from the left
+and without overlap, where the merge table proves that this is the same: no cut of a token of lower rank has the pair's
+token as a part, so the merge can't bring forth a pair that would go before the other places. Otherwise they too go one
+place at a time.
 
 Edge cases: null text is empty and has no ids; repeated rows and ties are ordinary; a piece of any length is encoded whole;
-other columns are ignored. Memory is bounded by one Arrow batch and a cache of CACHE pieces, which is dropped when full.
+an empty table gives no rows; other columns are ignored. Memory is bounded by BATCH_BYTES of text (or one longer text), the
+database's limit and CACHE_BYTES of words, which are dropped when they are more and when another operator takes the worker.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from assetlens.llm.chunks import pieces
-from assetlens.llm.runtime import id_and_text
+from assetlens.llm.chunks import batches_of, coded, objects, words_of
+from assetlens.llm.runtime import id_and_text, worker_state
 
-CACHE = 300_000
-#: Bytes of new words in one recursive query.
-QUERY_BYTES = 400_000
+CACHE_BYTES = 64_000_000
+BATCH_BYTES = 8_000_000
+#: Bytes of new words in one recursive query, and of a word that is contracted at several places in a step.
+QUERY_BYTES, LONG = 500_000, 256
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean"
 WITH_IDS = SCHEMA + ", ids binary"
 
-ENCODE = """
-WITH RECURSIVE t(step, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM seed
-  UNION ALL
-  SELECT step + 1, w, pos, CASE WHEN here THEN low ELSE tok END FROM (
-    SELECT *, coalesce(lag(here) OVER (PARTITION BY w ORDER BY pos), false) AS gone FROM (
-      SELECT *, hit AND (row_number() OVER (PARTITION BY w, hit, island ORDER BY pos)) % 2 = 1 AS here FROM (
-        SELECT *, i - row_number() OVER (PARTITION BY w, hit ORDER BY pos) AS island FROM (
-          SELECT *, coalesce(rank = low, false) AS hit FROM (
-            SELECT p.*, m.rank, min(m.rank) OVER (PARTITION BY p.w) AS low FROM (
-              SELECT step, w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt, row_number() OVER (PARTITION BY w ORDER BY pos) AS i FROM t
-            ) p LEFT JOIN merges m ON m.lft = p.tok AND m.rgt = p.nxt
-          )
-        ) WHERE low IS NOT NULL
+# Rows come in the order of pos, which windows without an order and the probe side of joins keep in a database of one thread.
+_PAIRS = """
+  WITH p AS (SELECT w, pos, tok, row_number() OVER () AS i, CASE WHEN lead(w) OVER () = w THEN tok * 65536::BIGINT + lead(tok) OVER () END AS pair FROM t WHERE live),
+  r AS MATERIALIZED (SELECT p.w, p.pos, p.tok, p.i, m.rank, m.alone FROM p LEFT JOIN merges m ON m.pair = p.pair),
+  b AS (SELECT w, min(rank * 4294967296 + pos) AS best FROM r WHERE rank IS NOT NULL GROUP BY w)"""
+ENCODE = f"""
+WITH RECURSIVE t(w, pos, tok, live) AS (
+  SELECT w, pos, tok, true FROM seed
+  UNION ALL ({_PAIRS.replace(", row_number() OVER () AS i", "").replace(" p.i,", "").replace(", m.alone", "")}
+  SELECT w, pos, CASE WHEN here THEN best // 4294967296 ELSE tok END, best IS NOT NULL FROM (
+    SELECT *, lag(here, 1, false) OVER () AS gone FROM (
+      SELECT r.w, r.pos, r.tok, b.best, coalesce(b.best % 4294967296 = r.pos, false) AS here FROM r LEFT JOIN b ON b.w = r.w
+    )
+  ) WHERE NOT gone)
+)
+SELECT w, pos, tok FROM t WHERE NOT live ORDER BY pos
+"""
+ENCODE_LONG = f"""
+WITH RECURSIVE t(w, pos, tok, live) USING KEY (pos) AS (
+  SELECT w, pos, tok, true FROM seed
+  UNION ({_PAIRS.replace("FROM t WHERE live", "FROM (SELECT * FROM recurring.t WHERE live ORDER BY pos)")}
+  SELECT w, pos, CASE WHEN gone THEN NULL WHEN here THEN best // 4294967296 ELSE tok END, best IS NOT NULL AND NOT gone FROM (
+    SELECT *, lag(here, 1, false) OVER () AS gone FROM (
+      SELECT *, hit AND (best % 4294967296 = pos OR alone AND (i - max(CASE WHEN hit THEN 0 ELSE i END) OVER (ROWS UNBOUNDED PRECEDING)) % 2 = 1) AS here FROM (
+        SELECT r.*, b.best, coalesce(r.rank = b.best // 4294967296, false) AS hit FROM r LEFT JOIN b ON b.w = r.w
       )
     )
-  ) WHERE NOT gone
+  ))
 )
-SELECT t.w, t.tok FROM t JOIN (SELECT w, max(step) AS last FROM t GROUP BY w) e ON e.w = t.w AND e.last = t.step ORDER BY t.w, t.pos
+SELECT w, pos, tok FROM t WHERE tok IS NOT NULL ORDER BY pos
 """
-DECODE = "SELECT i.w, unhex(string_agg(v.hexed, '' ORDER BY i.pos)) AS raw FROM ids i JOIN vocab v ON v.id = i.tok GROUP BY i.w"
+DECODE = "SELECT unhex(string_agg(v.hexed, '' ORDER BY i.pos)) AS raw FROM ids i JOIN vocab v ON v.id = i.tok GROUP BY i.w ORDER BY i.w"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,111 +78,125 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Strings of the bytes of ``data`` between neighbouring ends."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))])
+
+
+def _parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(data, ends) of an array that no slice was taken of."""
+    _, ends, data = strings.buffers()
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.frombuffer(ends, np.int64)[strings.offset:strings.offset + len(strings) + 1] if ends and len(strings) else np.zeros(1, np.int64)
+
+
 class Codec:
-    """A rank file in an in-memory database, with caches of encoded and decoded pieces."""
+    """A rank file in an in-memory database, with encoded and decoded words."""
 
     def __init__(self, path: str, pattern: str):
-        ranks = self.ranks = read_ranks(path)
+        ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        cuts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        merges = pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("lft", "rgt", "rank"), zip(*cuts))})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        cuts = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int64)
+        least = np.full(int(cuts.max()) + 1, np.iinfo(np.int64).max)  # of the tokens that are cut so that this one is a part
+        np.minimum.at(least, cuts[:, 0], cuts[:, 2])
+        np.minimum.at(least, cuts[:, 1], cuts[:, 2])
+        merges = pa.table({"pair": cuts[:, 0] * 65536 + cuts[:, 1], "rank": cuts[:, 2], "alone": least[cuts[:, 2]] > cuts[:, 2]})
         vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hexed": [t.hex() for t in ranks]})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges").execute("CREATE TABLE vocab AS SELECT * FROM vocab")
-        self.words: dict[str, bytes] = {}
-        self.ids: dict[str, bytes] = {}
-        self.raw: dict[str, bytes] = {}
-
-    def encode_words(self, words: list[str]) -> None:
-        """Ids of new pre-tokens, as little-endian unsigned 32-bit integers; a word that is a token needs no merges."""
-        whole = {w: self.ranks[r] for w in words if (r := w.encode()) in self.ranks}
-        self.words |= {w: i.to_bytes(4, "little") for w, i in whole.items()}
-        words = [w for w in words if w not in whole]
-        at = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and whose word they are
+        self.ids = self.raw = pa.array([], pa.large_binary())
+
+    def held(self) -> int:
+        return self.keys.nbytes + self.places.nbytes + self.ids.nbytes + self.raw.nbytes
+
+    def places_of(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among those held; new ones are encoded. Hashes find a word, its bytes confirm it."""
+        words = words.cast(pa.large_binary())
+        hashes = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+        out = np.full(len(words), -1)
+        if len(self.keys):
+            slot = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            same = np.flatnonzero(self.keys[slot] == hashes)
+            place = self.places[slot[same]]
+            right = pc.equal(self.raw.take(pa.array(place)), words.take(pa.array(same))).to_numpy(zero_copy_only=False)
+            out[same[right]] = place[right]
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            new = new[np.argsort(pc.binary_length(words.take(pa.array(new))).to_numpy() > LONG, kind="stable")]
+            out[new] = np.arange(len(self.raw), len(self.raw) + len(new))
+            self.encode_words(objects(words.take(pa.array(new))))
+            keys, places = np.concatenate((self.keys, hashes[new])), np.concatenate((self.places, out[new]))
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.places = keys[order], places[order]
+        return out
+
+    def encode_words(self, words: list[bytes]) -> None:
+        """Append to what is held the ids of words as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
+        ids, raw, at = [self.ids], [self.raw], 0
         while at < len(words):
-            group, size = [], 0
-            while at < len(words) and (not group or size < QUERY_BYTES):
-                group.append(words[at].encode())
+            group, size, long = [], 0, len(words[at]) > LONG
+            while at < len(words) and (not group or size + len(words[at]) <= QUERY_BYTES and long == (len(words[at]) > LONG)):
+                group.append(words[at])
                 size += len(group[-1])
                 at += 1
             lengths = np.array([len(g) for g in group])
             seed = pa.table({
                 "w": np.repeat(np.arange(len(group), dtype=np.int32), lengths),
-                "pos": np.arange(lengths.sum(), dtype=np.int32),
-                "tok": self.bytes[np.frombuffer(b"".join(group), np.uint8)],
+                "pos": np.arange(lengths.sum(), dtype=np.int64),
+                "tok": self.bytes[np.frombuffer(b"".join(group), np.uint8)].astype(np.int64),
             })
             self.db.register("seed", seed)
-            got = self.db.execute(ENCODE).fetchnumpy()
+            got = self.db.execute(ENCODE_LONG if long else ENCODE).fetchnumpy()
             self.db.unregister("seed")
-            self._put(words[at - len(group):at], got["w"], got["tok"], self.words)
-
-    @staticmethod
-    def _put(keys: list[str], w, tok, into: dict) -> None:
-        ends = np.searchsorted(w, np.arange(len(keys)), side="right") * 4
-        flat = np.ascontiguousarray(tok, dtype="<u4").tobytes()
-        start = 0
-        for key, end in zip(keys, ends.tolist()):
-            into[key] = flat[start:end]
-            start = end
-
-    def learn(self, new: list[str]) -> None:
-        """Encode pieces through their pre-tokens, and decode their ids again."""
-        split = [self.pattern.findall(p) for p in new]
-        self.encode_words(list({w for ws in split for w in ws} - self.words.keys()))
-        for piece, ws in zip(new, split):
-            self.ids[piece] = b"".join(map(self.words.__getitem__, ws))
-        for start in range(0, len(new), 50_000):
-            group = new[start:start + 50_000]
-            lengths = np.array([len(self.ids[p]) // 4 for p in group])
-            ids = pa.table({
-                "w": np.repeat(np.arange(len(group), dtype=np.int32), lengths),
-                "pos": np.arange(lengths.sum(), dtype=np.int64),
-                "tok": np.frombuffer(b"".join(self.ids[p] for p in group), "<u4").astype(np.int32),
-            })
-            self.db.register("ids", ids)
-            for w, raw in self.db.execute(DECODE).fetchall():
-                self.raw[group[w]] = raw
+            self.db.register("ids", pa.table({n: got[n] for n in ("w", "pos", "tok")}))
+            raw.append(self.db.sql(DECODE).to_arrow_table()["raw"].combine_chunks().cast(pa.large_binary()))
             self.db.unregister("ids")
-
-    def prepare(self, texts) -> None:
-        if len(self.ids) > CACHE:
-            self.ids, self.raw, self.words = {}, {}, {}
-        new: set[str] = set()
-        for t in texts:
-            new.update(pieces(t, self.pattern))
-        if new := list(new - self.ids.keys()):
-            self.learn(new)
-
-    def row(self, text: str, with_ids: bool = False) -> tuple:
-        parts = pieces(text, self.pattern)
-        ids = b"".join(map(self.ids.__getitem__, parts))
-        raw = b"".join(map(self.raw.__getitem__, parts))
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw), raw == text.encode(), *([ids] if with_ids else [])
-
-
-_CODECS: dict[tuple, Codec] = {}
-
-
-def codec(path: str, pattern: str) -> Codec:
-    """One codec for each worker process and rank file."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+            ids.append(_binary(got["tok"].astype("<u4"), np.searchsorted(got["w"], np.arange(len(group) + 1)) * 4))
+        self.ids, self.raw = pa.concat_arrays(ids), pa.concat_arrays(raw)
+
+    def encode(self, texts: pa.Array) -> list[tuple[memoryview, memoryview]]:
+        """(ids, decoded bytes) of every text."""
+        if self.held() > CACHE_BYTES:
+            self.forget()
+        batch = coded(texts)
+        split = [words_of(p, self.pattern) for p in objects(batch.pieces.slice(batch.plain))]
+        ends = np.arange(len(batch.pieces) + 1)
+        ends[batch.plain + 1:] = batch.plain + np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        flat = pa.concat_arrays([batch.pieces.slice(0, batch.plain), pa.array(list(chain.from_iterable(split)), pa.large_string())]).dictionary_encode()
+        at = pa.array(self.places_of(flat.dictionary)[flat.indices.to_numpy(zero_copy_only=False)])
+        out: list = [None] * len(texts)
+        columns = []
+        for words in (self.ids, self.raw):
+            data, stops = _parts(words.take(at))
+            data, stops = _parts(_binary(data, stops[ends]).take(pa.array(batch.codes)))
+            columns.append((memoryview(data), stops[batch.ends].tolist()))
+        (ids, a), (raw, b) = columns
+        for k, i in enumerate(batch.order.tolist()):
+            out[i] = ids[a[k]:a[k + 1]], raw[b[k]:b[k + 1]]
+        return out
 
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Digests of ids and decoded bytes by document; with_ids adds the ids as little-endian unsigned 32-bit integers."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     schema = WITH_IDS if with_ids else SCHEMA
-    names = schema.replace(",", "").split()[0::2]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def batches(frames):
-        own = codec(ranks, pattern)
+        own = worker_state(("bpe", ranks, pattern), lambda: Codec(ranks, pattern))
         for frame in frames:
-            ids, texts = frame["doc_id"].astype("Int64"), frame["text"].tolist()
-            for start in range(0, len(texts), 2000):
-                part = texts[start:start + 2000]
-                own.prepare(part)
-                yield pd.DataFrame([(i, *own.row(t, with_ids)) for i, t in zip(ids[start:start + 2000].array, part)], columns=names).astype({"doc_id": "Int64"})
-
-    return id_and_text(docs).mapInPandas(batches, schema)
+            for start, texts in batches_of(frame["text"], BATCH_BYTES):
+                doc_ids = frame["doc_id"].slice(start, len(texts))
+                rows = [
+                    (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw), raw == (text or "").encode(), *([bytes(ids)] if with_ids else []))
+                    for (ids, raw), text in zip(own.encode(texts), objects(texts))
+                ]
+                yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:]))], schema=arrow)
+
+    return id_and_text(docs).mapInArrow(batches, schema)

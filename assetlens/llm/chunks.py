@@ -1,21 +1,106 @@
 """Splitting texts where byte-level BPE pre-tokens can never cross, so that distinct pieces are encoded once.
 
 Under the pattern of the rank files a blank followed by anything but white space always starts a pre-token: white space
-before it gives its last blank to the next token, and no other alternative can end with one. So a text without a blank
-before white space or at its end splits at its blanks, and equal pieces have equal ids wherever they stand.
+before it gives its last blank to the next token, and no other alternative can end with one. So a text splits before such
+blanks, and equal pieces have equal ids wherever they stand. A batch becomes codes of its distinct pieces by Arrow, and
+all that follows is done once for a distinct piece or by gathers over whole arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: A blank before white space or at the end; such texts are pre-tokenised by the pattern itself.
+#: A blank before white space or at the end; such texts are split by BREAK instead of at every blank.
 LOOSE = regex.compile(r" (?:\s|$)")
+BREAK = regex.compile(r" (?=\S)")
+#: The same for Arrow's expressions, which know only ASCII white space by name.
+LOOSE_RE2 = r" ([\s\x0b\x1c-\x1f\x{85}\pZ]|$)"
+#: Letters by an older table than the pattern's at most, so that what matches is one pre-token.
+LETTERS_RE2 = r"^\pL+$"
+#: Signs that form a pre-token of their own after letters.
+TAIL = ".,;:!?"
+
+
+class Coded(NamedTuple):
+    order: np.ndarray  # places of the texts in the batch, in the order used below
+    ends: np.ndarray  # per text: where its codes start, and at last where they end
+    codes: np.ndarray  # codes of all texts in order
+    pieces: pa.Array  # distinct pieces by code
+    plain: int  # so many of them are letters only, perhaps behind a blank; they come first and are one pre-token each
+
+
+def batches_of(texts: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """(start, texts) of about ``most`` bytes of neighbouring texts; a longer text stands alone."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(size), 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield start, texts.slice(start, stop - start)
+        start = stop
+
+
+def coded(texts: pa.Array) -> Coded:
+    """Pieces of every text as codes; joined, a text's pieces give the text. Null is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    loose = pc.match_substring_regex(texts, LOOSE_RE2).to_numpy(zero_copy_only=False)
+    order = np.concatenate((np.flatnonzero(~loose), np.flatnonzero(loose)))
+    kind = pa.large_list(pa.large_string())
+    split = pc.split_pattern(texts.filter(pa.array(~loose)), " ").cast(kind)
+    if loose.any():
+        split = pa.concat_arrays([split, pa.array([BREAK.split(t) for t in objects(texts.filter(pa.array(loose)))], kind)])
+    flat = split.flatten()
+    ends = np.zeros(len(split) + 1, np.int64)
+    np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), out=ends[1:])
+    dictionary = flat.dictionary_encode()
+    codes, names = dictionary.indices.to_numpy(zero_copy_only=False).astype(np.int32), dictionary.dictionary
+    first = ends[:-1]
+    heads, places = np.unique(codes[first], return_inverse=True)  # pieces at a text's start have no blank before them
+    inner = np.bincount(codes, minlength=len(names)) - np.bincount(codes[first], minlength=len(names)) > 0
+    renumber = np.cumsum(inner, dtype=np.int32) - 1
+    at_start = places.astype(np.int32) + np.int32(inner.sum())
+    codes = renumber[codes]
+    codes[first] = at_start
+    pieces = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), names.filter(pa.array(inner)), pa.scalar("", pa.large_string())), names.take(pa.array(heads))])
+    letters = pc.match_substring_regex(names, LETTERS_RE2).to_numpy(zero_copy_only=False)
+    other = ~np.concatenate((letters[inner], letters[heads]))
+    by_kind = np.argsort(other, kind="stable")
+    place = np.empty(len(by_kind), np.int32)
+    place[by_kind] = np.arange(len(by_kind), dtype=np.int32)
+    return Coded(order, ends, place[codes], pieces.take(pa.array(by_kind)), int(len(other) - other.sum()))
+
+
+def objects(strings: pa.Array) -> list:
+    """The strings as Python objects, some ten times faster than ``to_pylist``."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def words_of(piece: str, pattern: regex.Pattern) -> list[str]:
+    """Pre-tokens of a piece; letters with signs behind them need no search."""
+    core = piece.rstrip(TAIL)
+    if (core[1:] if core[:1] == " " else core).isalpha():
+        return [core, piece[len(core):]] if len(core) < len(piece) else [piece]
+    return pattern.findall(piece)
 
 
 def pieces(text: str, pattern: regex.Pattern) -> list[str]:
-    """Pieces of a text in order; joined they give the text."""
+    """Pieces of one text in order."""
     if LOOSE.search(text):
         return pattern.findall(text)
     first, *rest = text.split(" ")
     return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+
+
+def gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the groups ``at`` one behind the other, and where each begins and the last ends."""
+    starts, length = ends[at], ends[at + 1] - ends[at]
+    out = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(length, out=out[1:])
+    index = np.repeat(starts - out[:-1], length)
+    index += np.arange(out[-1])
+    return values[index], out
