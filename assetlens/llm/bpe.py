@@ -12,27 +12,25 @@ place at a time.
 
 Edge cases: null text is empty and has no ids; repeated rows and ties are ordinary; a piece of any length is encoded whole;
 an empty table gives no rows; other columns are ignored. Memory is bounded by BATCH_BYTES of text (or one longer text), the
-database's limit and CACHE_BYTES of words, which are dropped when they are more and when another operator takes the worker.
+database's limit and twice CACHE_BYTES of pieces and words, dropped when they are more or another operator takes the worker.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from assetlens.llm.chunks import batches_of, coded, objects, words_of
+from assetlens.llm.chunks import Pieces, batches_of, binary, objects
 from assetlens.llm.runtime import id_and_text, worker_state
 
-CACHE_BYTES = 64_000_000
+CACHE_BYTES = 48_000_000
 BATCH_BYTES = 8_000_000
 #: Bytes of new words in one recursive query, and of a word that is contracted at several places in a step.
 QUERY_BYTES, LONG = 500_000, 256
@@ -78,17 +76,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Strings of the bytes of ``data`` between neighbouring ends."""
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))])
-
-
-def _parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(data, ends) of an array that no slice was taken of."""
-    _, ends, data = strings.buffers()
-    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.frombuffer(ends, np.int64)[strings.offset:strings.offset + len(strings) + 1] if ends and len(strings) else np.zeros(1, np.int64)
-
-
 class Codec:
     """A rank file in an in-memory database, with encoded and decoded words."""
 
@@ -104,42 +91,17 @@ class Codec:
         merges = pa.table({"pair": cuts[:, 0] * 65536 + cuts[:, 1], "rank": cuts[:, 2], "alone": least[cuts[:, 2]] > cuts[:, 2]})
         vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hexed": [t.hex() for t in ranks]})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges").execute("CREATE TABLE vocab AS SELECT * FROM vocab")
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and whose word they are
-        self.ids = self.raw = pa.array([], pa.large_binary())
-
-    def held(self) -> int:
-        return self.keys.nbytes + self.places.nbytes + self.ids.nbytes + self.raw.nbytes
-
-    def places_of(self, words: pa.Array) -> np.ndarray:
-        """Places of distinct words among those held; new ones are encoded. Hashes find a word, its bytes confirm it."""
-        words = words.cast(pa.large_binary())
-        hashes = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
-        out = np.full(len(words), -1)
-        if len(self.keys):
-            slot = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            same = np.flatnonzero(self.keys[slot] == hashes)
-            place = self.places[slot[same]]
-            right = pc.equal(self.raw.take(pa.array(place)), words.take(pa.array(same))).to_numpy(zero_copy_only=False)
-            out[same[right]] = place[right]
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            new = new[np.argsort(pc.binary_length(words.take(pa.array(new))).to_numpy() > LONG, kind="stable")]
-            out[new] = np.arange(len(self.raw), len(self.raw) + len(new))
-            self.encode_words(objects(words.take(pa.array(new))))
-            keys, places = np.concatenate((self.keys, hashes[new])), np.concatenate((self.places, out[new]))
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.places = keys[order], places[order]
-        return out
-
-    def encode_words(self, words: list[bytes]) -> None:
-        """Append to what is held the ids of words as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
-        ids, raw, at = [self.ids], [self.raw], 0
+        self.pieces = Pieces(2, self.pattern.findall, self.encode_words, CACHE_BYTES)
+
+    def encode_words(self, words: pa.Array) -> list[pa.Array]:
+        """Ids of words as little-endian unsigned 32-bit integers, and the bytes that these ids decode to."""
+        long = pc.binary_length(words).to_numpy() > LONG
+        order = np.argsort(long, kind="stable")
+        words, n_short = objects(words.take(pa.array(order))), int(len(long) - long.sum())
+        ids, raw, at = [], [], 0
         while at < len(words):
-            group, size, long = [], 0, len(words[at]) > LONG
-            while at < len(words) and (not group or size + len(words[at]) <= QUERY_BYTES and long == (len(words[at]) > LONG)):
+            group, size, stop = [], 0, n_short if at < n_short else len(words)
+            while at < stop and (not group or size + len(words[at]) <= QUERY_BYTES):
                 group.append(words[at])
                 size += len(group[-1])
                 at += 1
@@ -150,34 +112,14 @@ class Codec:
                 "tok": self.bytes[np.frombuffer(b"".join(group), np.uint8)].astype(np.int64),
             })
             self.db.register("seed", seed)
-            got = self.db.execute(ENCODE_LONG if long else ENCODE).fetchnumpy()
+            got = self.db.execute(ENCODE if at <= n_short else ENCODE_LONG).fetchnumpy()
             self.db.unregister("seed")
             self.db.register("ids", pa.table({n: got[n] for n in ("w", "pos", "tok")}))
             raw.append(self.db.sql(DECODE).to_arrow_table()["raw"].combine_chunks().cast(pa.large_binary()))
             self.db.unregister("ids")
-            ids.append(_binary(got["tok"].astype("<u4"), np.searchsorted(got["w"], np.arange(len(group) + 1)) * 4))
-        self.ids, self.raw = pa.concat_arrays(ids), pa.concat_arrays(raw)
-
-    def encode(self, texts: pa.Array) -> list[tuple[memoryview, memoryview]]:
-        """(ids, decoded bytes) of every text."""
-        if self.held() > CACHE_BYTES:
-            self.forget()
-        batch = coded(texts)
-        split = [words_of(p, self.pattern) for p in objects(batch.pieces.slice(batch.plain))]
-        ends = np.arange(len(batch.pieces) + 1)
-        ends[batch.plain + 1:] = batch.plain + np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        flat = pa.concat_arrays([batch.pieces.slice(0, batch.plain), pa.array(list(chain.from_iterable(split)), pa.large_string())]).dictionary_encode()
-        at = pa.array(self.places_of(flat.dictionary)[flat.indices.to_numpy(zero_copy_only=False)])
-        out: list = [None] * len(texts)
-        columns = []
-        for words in (self.ids, self.raw):
-            data, stops = _parts(words.take(at))
-            data, stops = _parts(_binary(data, stops[ends]).take(pa.array(batch.codes)))
-            columns.append((memoryview(data), stops[batch.ends].tolist()))
-        (ids, a), (raw, b) = columns
-        for k, i in enumerate(batch.order.tolist()):
-            out[i] = ids[a[k]:a[k + 1]], raw[b[k]:b[k + 1]]
-        return out
+            ids.append(binary(got["tok"].astype("<u4"), np.searchsorted(got["w"], np.arange(len(group) + 1)) * 4))
+        back = pa.array(np.argsort(order))
+        return [pa.concat_arrays(ids).take(back), pa.concat_arrays(raw).take(back)]
 
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -195,7 +137,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = Fa
                 doc_ids = frame["doc_id"].slice(start, len(texts))
                 rows = [
                     (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw), raw == (text or "").encode(), *([bytes(ids)] if with_ids else []))
-                    for (ids, raw), text in zip(own.encode(texts), objects(texts))
+                    for (ids, raw), text in zip(zip(*own.pieces.of(texts)), objects(texts))
                 ]
                 yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:]))], schema=arrow)
 

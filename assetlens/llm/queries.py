@@ -51,7 +51,7 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return wavelet.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_suffix_array_dedup, op4_media_columns, op5_ngram_jaccard_join, op6_quality_classifier, op7_license_scans, op8_sharding, op9_byte_level_bpe, op10_token_files)}

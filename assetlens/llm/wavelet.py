@@ -1,127 +1,154 @@
-"""Token ids in wavelet-matrix files: one file for each shard of documents in ascending doc_id order.
+"""Token ids in wavelet-matrix files: one matrix and one file for each shard of documents in ascending doc_id order.
 
-File: magic, header length, JSON header, then for each block of at most BLOCK ids one zstd-compressed payload: the block's
-alphabet (its distinct ids in order) and the bit-planes of the ids' places in it, most significant first. A plane holds the bits of all ids of the block in the order that stable partition by
-the planes above gave; ranks come from a directory of counts for each 64 bits, rebuilt when a block is opened. ``Block``
-answers access, rank (count of an id before a position), select (place of the k-th occurrence) and full decoding; ``Shard``
-answers them over a whole file.
+File: magic, header length, JSON header, the alphabet (the shard's distinct ids in order), then for each bit of the ids'
+places in the alphabet, most significant first, a plane: a directory with the count of ones before each RANK bits, and the
+bits of all ids in the order that stable partition by the planes above gave, in segments of SEGMENT bits, each compressed
+by itself. ``Shard`` answers access, count and occurrence from a file by reading the directory entries and segments that
+the answer needs, and decodes whole files plane by plane.
 
-Texts are dealt by range of doc_id and sorted within shards. Each task attempt writes files under names of its own; the
-manifest, written as a table, names those of the attempts that counted, so a lost executor leaves no half file in use.
+Texts are dealt by range of doc_id and sorted within shards; a task closes a file at SHARD_IDS ids or SHARD_DOCS documents
+and begins another. Each task attempt writes files under names of its own; the manifest, written as a table, names those of
+the attempts that counted, so a lost executor leaves no half file in use.
 
 Edge cases: null text is empty and has only the end id; ids that repeat are ordered by text; null doc_id comes first; an
-empty table writes no file; other columns are ignored. Memory: one batch of texts and one shard's block of ids.
+empty table writes no file; other columns are ignored. Memory: BATCH_BYTES of text (or one longer text), twice CACHE_BYTES
+of pieces and words, which go when another operator takes the worker, and one shard's ids.
 """
 
 from __future__ import annotations
 
-import gc
 import json
+import os
 import struct
 import uuid
 import zlib
-from array import array
+from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetlens.llm.chunks import pieces
-from assetlens.llm.runtime import fresh_path, id_and_text, materialize
+from assetlens.llm.chunks import SPACE, Pieces, batches_of, binary, objects
+from assetlens.llm.runtime import fresh_path, id_and_text, materialize, worker_state
 
-MAGIC = b"ALWM0001"
-BLOCK = 1 << 18
-DOCS_PER_SHARD = 4096
-#: Entries of one generation of a cache.
-CACHE = 250_000
+MAGIC = b"ALWM0002"
+SHARD_IDS, SHARD_DOCS, DOCS_PER_TASK = 1 << 22, 1 << 16, 4096
+#: Bits of a directory entry and of a segment.
+RANK, SEGMENT = 512, 1 << 18
+BATCH_BYTES, CACHE_BYTES = 8_000_000, 48_000_000
+#: Words in one call of the library.
 GROUP = 2000
-MANIFEST = "path string, first_id long, part int, n_docs long, n_ids long"
-ROWS = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long, doc_no long"
+#: Segments that an open shard keeps.
+OPEN = 64
+MANIFEST = "path string, seq int, n_docs long, n_ids long"
+ROWS = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
-def build(ids: np.ndarray) -> bytes:
-    """Size of the alphabet, the alphabet, and the bit-planes, each padded to whole bytes."""
+def build(ids: np.ndarray) -> tuple[dict, list[bytes]]:
+    """(header entries, sections) of the matrix of a shard's ids."""
     alphabet = np.flatnonzero(np.bincount(ids, minlength=1)).astype("<u2")
     place = np.zeros(int(alphabet[-1]) + 1, np.uint16)
     place[alphabet] = np.arange(len(alphabet), dtype=np.uint16)
-    x, planes = place.take(ids), [struct.pack("<I", len(alphabet)), alphabet.tobytes()]
-    for bit in range(_bits(len(alphabet)) - 1, -1, -1):
+    x, zeros, segments, out = place.take(ids), [], [], [alphabet.tobytes()]
+    for bit in range(max(1, (len(alphabet) - 1).bit_length()) - 1, -1, -1):
         m = (x & np.uint16(1 << bit)) != 0
-        planes.append(np.packbits(m).tobytes())
+        packed = np.packbits(m, bitorder="little")
+        words64 = np.concatenate((packed, np.zeros(-len(packed) % (RANK // 8), np.uint8))).view("<u8")
+        ones = np.bitwise_count(words64).reshape(-1, RANK // 64).sum(1, dtype=np.uint32)
+        out.append(np.concatenate(([0], np.cumsum(ones)[:-1])).astype("<u4").tobytes())
+        raw = packed.tobytes()
+        squeezed = [zstandard.compress(raw[at:at + SEGMENT // 8], 1) for at in range(0, len(raw), SEGMENT // 8)]
+        out += squeezed
+        segments.append([len(s) for s in squeezed])
+        zeros.append(len(x) - int(ones.sum()))
         x = np.concatenate((np.compress(~m, x), np.compress(m, x)))
-    return b"".join(planes)
+    return {"n": len(ids), "letters": len(alphabet), "zeros": zeros, "segments": segments}, out
 
 
-def _bits(letters: int) -> int:
-    return max(1, (letters - 1).bit_length())
+def pack(docs: list, lengths: list[int], ids: np.ndarray) -> bytes:
+    """The file of a shard."""
+    header, sections = build(ids)
+    head = json.dumps({**header, "docs": docs, "lengths": lengths}, separators=(",", ":")).encode()
+    return b"".join((MAGIC, struct.pack("<Q", len(head)), head, *sections))
 
 
-class Block:
-    def __init__(self, data: bytes, n: int):
-        letters = struct.unpack_from("<I", data)[0]
-        self.alphabet = np.frombuffer(data, "<u2", letters, 4)
-        self.n, self.bits, width, at = n, _bits(letters), -(-n // 8), 4 + 2 * letters
-        self.planes = [np.frombuffer(data, np.uint8, width, at + i * width) for i in range(self.bits)]
-        self._ranks: list | None = None
-
-    def decode(self) -> np.ndarray:
-        """All ids: from the last plane up, undo each stable partition by the ranks of its bits."""
-        x, places = np.zeros(self.n, np.uint16), np.arange(self.n, dtype=np.int32)
-        for level in range(self.bits - 1, -1, -1):
-            m = np.unpackbits(self.planes[level], count=self.n).view(bool)
-            ones = np.cumsum(m, dtype=np.int32)
-            zeros = self.n - int(ones[-1])
-            x = x.take(np.where(m, ones + (zeros - 1), places - ones))
-            x |= m.astype(np.uint16) << np.uint16(self.bits - 1 - level)
-        return self.alphabet.take(x)
+class Shard:
+    """Queries over one file, given as something with ``read_at(size, offset)``."""
 
-    def ranks(self) -> list:
-        """For each plane: ones before every 64th bit, the number of zeros, and the bits as bytes."""
-        if self._ranks is None:
-            self._ranks = []
-            for plane in self.planes:
-                ones = np.concatenate(([0], np.cumsum(np.bitwise_count(np.concatenate((plane, np.zeros(-len(plane) % 8, np.uint8))).view(np.uint64)))))
-                self._ranks.append((ones, self.n - int(ones[-1]), plane.tobytes()))
-        return self._ranks
+    def __init__(self, source):
+        self.source = source
+        magic, size = struct.unpack("<8sQ", source.read_at(16, 0))
+        if magic != MAGIC:
+            raise ValueError("not a wavelet shard")
+        self.header = json.loads(source.read_at(size, 16))
+        self.n, self.zeros = self.header["n"], self.header["zeros"]
+        self.bits, at = len(self.zeros), 16 + size
+        self.alphabet = np.frombuffer(source.read_at(2 * self.header["letters"], at), "<u2")
+        at += 2 * len(self.alphabet)
+        self.directory, self.starts = [], []
+        for sizes in self.header["segments"]:
+            self.directory.append(at)
+            ends = np.cumsum([at + 4 * -(-self.n // RANK), *sizes])
+            self.starts.append(ends)
+            at = int(ends[-1])
+        self.open: OrderedDict = OrderedDict()
+
+    def _segment(self, level: int, k: int) -> bytes:
+        if (level, k) not in self.open:
+            start, stop = self.starts[level][k:k + 2].tolist()
+            self.open[level, k] = zstandard.decompress(self.source.read_at(stop - start, start))
+            if len(self.open) > OPEN:
+                self.open.popitem(last=False)
+        self.open.move_to_end((level, k))
+        return self.open[level, k]
+
+    def _bit(self, level: int, i: int) -> int:
+        return self._segment(level, i // SEGMENT)[i % SEGMENT >> 3] >> (i & 7) & 1
 
     def _ones(self, level: int, i: int) -> int:
-        ones, _, raw = self.ranks()[level]
-        word, rest = divmod(i, 64)
-        return int(ones[word]) + (int.from_bytes(raw[word * 8:word * 8 + 8].ljust(8, b"\0"), "big") >> (64 - rest)).bit_count()
+        """Ones before place i: the directory's entry and the rest of its block."""
+        if i >= self.n:
+            return self.n - self.zeros[level]
+        before = struct.unpack("<I", self.source.read_at(4, self.directory[level] + 4 * (i // RANK)))[0]
+        start, rest = i % SEGMENT // RANK * (RANK // 8), i % RANK
+        block = int.from_bytes(self._segment(level, i // SEGMENT)[start:start + RANK // 8], "little")
+        return before + (block & ((1 << rest) - 1)).bit_count()
 
     def access(self, i: int) -> int:
+        """The id at a position."""
+        if not 0 <= i < self.n:
+            raise IndexError(i)
         value = 0
         for level in range(self.bits):
-            bit = self.planes[level][i >> 3] >> (7 - (i & 7)) & 1
-            ones = self._ones(level, i)
-            i = self.ranks()[level][1] + ones if bit else i - ones
-            value = value << 1 | int(bit)
+            bit, ones = self._bit(level, i), self._ones(level, i)
+            i = self.zeros[level] + ones if bit else i - ones
+            value = value << 1 | bit
         return int(self.alphabet[value])
 
-    def letter(self, token: int) -> int | None:
-        i = int(np.searchsorted(self.alphabet, token))
-        return i if i < len(self.alphabet) and self.alphabet[i] == token else None
-
-    def _range(self, token: int, end: int) -> tuple[int, int]:
+    def _range(self, token: int, end: int) -> tuple[int, int, int]:
+        """(letter, first, last + 1 place under the last plane) of an id's occurrences before a position."""
+        letter = int(np.searchsorted(self.alphabet, token))
+        if letter == len(self.alphabet) or self.alphabet[letter] != token:
+            return -1, 0, 0
         start = 0
         for level in range(self.bits):
-            a, b, zeros = self._ones(level, start), self._ones(level, end), self.ranks()[level][1]
-            start, end = (zeros + a, zeros + b) if token >> (self.bits - 1 - level) & 1 else (start - a, end - b)
-        return start, end
-
-    def rank(self, token: int, end: int | None = None) -> int:
-        """Occurrences of the id before a position."""
-        letter = self.letter(token)
-        if letter is None:
-            return 0
-        start, stop = self._range(letter, self.n if end is None else end)
+            a, b, zeros = self._ones(level, start), self._ones(level, end), self.zeros[level]
+            start, end = (zeros + a, zeros + b) if letter >> (self.bits - 1 - level) & 1 else (start - a, end - b)
+        return letter, start, end
+
+    def count(self, token: int, end: int | None = None) -> int:
+        """Occurrences of an id before a position, or in the whole shard."""
+        _, start, stop = self._range(token, self.n if end is None else end)
         return stop - start
 
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
+    def _select(self, level: int, bit: int, k: int) -> int:
+        """Place of the k-th bit of this value in a plane."""
         low, high = 0, self.n
         while low < high:
             mid = (low + high) // 2
@@ -129,178 +156,136 @@ class Block:
             low, high = (low, mid) if (ones if bit else mid + 1 - ones) > k else (mid + 1, high)
         return low
 
-    def select(self, token: int, k: int) -> int:
-        """Position of the k-th occurrence (from 0)."""
-        if k >= self.rank(token):
+    def occurrence(self, token: int, k: int) -> int:
+        """Position of the k-th occurrence of an id, from 0."""
+        letter, start, stop = self._range(token, self.n)
+        if not 0 <= k < stop - start:
             raise IndexError(k)
-        token = self.letter(token)
-        i = self._range(token, self.n)[0] + k
+        i = start + k
         for level in range(self.bits - 1, -1, -1):
-            bit = token >> (self.bits - 1 - level) & 1
-            i = self._select_bit(level, bit, i - self.ranks()[level][1] if bit else i)
+            bit = letter >> (self.bits - 1 - level) & 1
+            i = self._select(level, bit, i - self.zeros[level] if bit else i)
         return i
 
+    def decode(self) -> np.ndarray:
+        """All ids: from the last plane up, undo each stable partition."""
+        x = np.zeros(self.n, np.uint16)
+        for level in range(self.bits - 1, -1, -1):
+            ends = self.starts[level].tolist()
+            data = self.source.read_at(ends[-1] - ends[0], ends[0])
+            raw = b"".join(zstandard.decompress(data[a - ends[0]:b - ends[0]]) for a, b in zip(ends, ends[1:]))
+            m = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
+            y = np.empty_like(x)
+            y[~m] = x[:self.zeros[level]]
+            y[m] = x[self.zeros[level]:] | np.uint16(1 << (self.bits - 1 - level))
+            x = y
+        return self.alphabet.take(x)
 
-class Writer:
-    """Blocks of a shard, compressed as they fill."""
-
-    def __init__(self):
-        self.wait: list[np.ndarray] = []
-        self.size, self.blocks, self.body = 0, [], []
-        self.docs: list = []
-        self.lengths: list[int] = []
-
-    def add(self, doc_id, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.lengths.append(len(ids))
-        self.wait.append(ids)
-        self.size += len(ids)
-        if self.size >= BLOCK:
-            self._flush(False)
-
-    def _flush(self, last: bool) -> None:
-        x = np.concatenate(self.wait) if self.wait else np.zeros(0, np.uint16)
-        while len(x) >= BLOCK or (last and len(x)):
-            part, x = x[:BLOCK], x[BLOCK:]
-            packed = zstandard.compress(build(part), 1)
-            self.blocks.append((len(part), len(packed)))
-            self.body.append(packed)
-        self.wait, self.size = [x], len(x)
-
-    def file(self) -> bytes:
-        self._flush(True)
-        header = json.dumps({"blocks": self.blocks, "docs": self.docs, "lengths": self.lengths}, separators=(",", ":")).encode()
-        return b"".join((MAGIC, struct.pack("<Q", len(header)), header, *self.body))
-
-
-class Shard:
-    """Queries over one file."""
-
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
-            raise ValueError("not a wavelet shard")
-        size = struct.unpack_from("<Q", data, 8)[0]
-        self.header = json.loads(data[16:16 + size])
-        self.data, self.at = data, 16 + size
-        self.n = sum(n for n, _ in self.header["blocks"])
-
-    def blocks(self):
-        at = self.at
-        for n, packed in self.header["blocks"]:
-            yield Block(zstandard.decompress(self.data[at:at + packed]), n)
-            at += packed
-
-    def access(self, i: int) -> int:
-        for block in self.blocks():
-            if i < block.n:
-                return block.access(i)
-            i -= block.n
-        raise IndexError(i)
-
-    def count(self, token: int) -> int:
-        return sum(block.rank(token) for block in self.blocks())
-
-    def occurrence(self, token: int, k: int) -> int:
-        base = 0
-        for block in self.blocks():
-            here = block.rank(token)
-            if k < here:
-                return base + block.select(token, k)
-            k, base = k - here, base + block.n
-        raise IndexError(k)
-
-    def documents(self):
-        """(doc_id, ids) in order, decoding block after block."""
-        source, have = self.blocks(), np.zeros(0, np.uint16)
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
+        """(doc_id, ids) in order."""
+        ids, at = self.decode(), 0
         for doc_id, n in zip(self.header["docs"], self.header["lengths"]):
-            parts = [have]
-            size = len(have)
-            while size < n:
-                parts.append(next(source).decode())
-                size += len(parts[-1])
-            have = np.concatenate(parts) if len(parts) > 1 else have
-            yield doc_id, have[:n]
-            have = have[n:]
+            yield doc_id, ids[at:at + n]
+            at += n
 
 
 class Tokens:
-    """Ids of texts by the tokenizers library. Distinct pre-tokens are encoded once, distinct pieces put together once.
+    """Ids of texts by the tokenizers library, which gets each distinct word once, many in one text.
 
-    Both caches have two generations: a full one becomes the old one, from which what is met again moves back.
+    A word that starts with a blank and something else follows its neighbour directly, one without white space after a line
+    feed; pre-tokens can't cross either, so the ids' byte lengths tell where each word ends.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(pattern)
-        self.ids: dict[str, bytes] = {}
-        self.old_ids: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-
-    def learn(self, new: set[str]) -> None:
-        cuts = {p: self.pattern.findall(p) for p in new}
-        if len(self.words) > CACHE:
-            self.old_words, self.words = self.words, {}
-        words = {w for ws in cuts.values() for w in ws} - self.words.keys()
-        again = words & self.old_words.keys()
-        self.words.update((w, self.old_words[w]) for w in again)
-        fresh = list(words - again)
-        for start in range(0, len(fresh), GROUP):  # the library's results are large, so few at a time
-            part = fresh[start:start + GROUP]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[w] = array("H", e.ids).tobytes()
-        for p, ws in cuts.items():
-            self.ids[p] = b"".join(map(self.words.__getitem__, ws))
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        vocab = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # a sign of the vocabulary stands for one byte
+        self.width[list(vocab.values())] = list(map(len, vocab))
+        self.pieces = Pieces(1, lambda piece: [piece] if piece else [], self.encode_words, CACHE_BYTES)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def joined(self, words: list[bytes], between: bytes) -> list[np.ndarray]:
+        """Data and lengths of the ids of words that may stand in one text."""
+        data, lengths = [], []
+        for at in range(0, len(words), GROUP):
+            group = words[at:at + GROUP]
+            ids = self.ids(between.join(group).decode())
+            stops, wanted = np.cumsum(self.width[ids]), np.cumsum(np.fromiter(map(len, group), np.int64, len(group))) + len(between) * np.arange(len(group))
+            ends = np.searchsorted(stops, wanted) + 1
+            if not np.array_equal(stops[ends - 1], wanted):
+                raise ValueError("a pre-token crosses words")
+            starts = np.concatenate(([0], ends[:-1] + len(between)))
+            keep = np.ones(len(ids), bool)
+            keep[starts[1:] - 1] &= not between
+            data.append(ids[keep])
+            lengths.append(ends - starts)
+        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (data, lengths)]
+
+    def encode_words(self, fresh: pa.Array) -> list[pa.Array]:
+        text = fresh.cast(pa.large_string())
+        after_blank, unbroken = (pc.match_substring_regex(text, p).to_numpy(zero_copy_only=False) for p in (f"^ [^{SPACE}]", f"^[^{SPACE}]+$"))
+        kinds = np.where(after_blank, 0, np.where(unbroken, 1, 2))
+        made = [self.joined(objects(fresh.filter(pa.array(kinds == k))), b) for k, b in ((0, b""), (1, b"\n"))]
+        alone = [self.ids(w) for w in objects(text.filter(pa.array(kinds == 2)))]
+        data = np.concatenate((made[0][0], made[1][0], *alone))
+        ends = np.zeros(len(fresh) + 1, np.int64)
+        np.cumsum(np.concatenate((made[0][1], made[1][1], np.fromiter(map(len, alone), np.int64, len(alone)))), out=ends[1:])
+        return [binary(data.astype("<u2"), 2 * ends).take(pa.array(np.argsort(np.argsort(kinds, kind="stable"))))]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; texts with strings of special tokens go to the library whole."""
-        split = [None if any(s in t for s in self.special) else pieces(t, self.pattern) for t in texts]
-        if len(self.ids) > CACHE:
-            self.old_ids, self.ids = self.ids, {}
-        new = set().union(*filter(None, split)) - self.ids.keys()
-        again = new & self.old_ids.keys()
-        self.ids.update((p, self.old_ids[p]) for p in again)
-        self.learn(new - again)
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2") if ps is None else np.frombuffer(b"".join(map(self.ids.__getitem__, ps)), "<u2")
-            for t, ps in zip(texts, split)
-        ]
-
-
-_TOKENS: dict[tuple, Tokens] = {}
-
-
-def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, folder: str) -> DataFrame:
-    """Write the files and return their manifest, one row for each file."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for i, ids in zip(np.flatnonzero(~whole).tolist(), self.pieces.of(texts.filter(pa.array(~whole)))[0]):
+            out[i] = np.frombuffer(ids, "<u2")
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self.ids(texts[i].as_py()).astype("<u2")
+        return out
+
+
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
+    """Write the files and return their manifest, one row for each file; (part, seq) is their order."""
     body = id_and_text(docs)
-    parts = max(1, -(-body.count() // DOCS_PER_SHARD))  # the count reads no column
+    parts = max(1, -(-body.count() // DOCS_PER_TASK))  # the count reads no column
+    names = MANIFEST.replace(",", "").split()[0::2]
 
     def batches(frames):
-        gc.disable()  # a collection walks every piece of the caches; one at the end of a task is enough
-        own = _TOKENS.get((tokenizer, pattern)) or _TOKENS.setdefault((tokenizer, pattern), Tokens(tokenizer, pattern))
-        end = np.array([end_id], "<u2")
-        writer, n = Writer(), 0
-        for frame in frames:
-            ids, texts = [None if pd.isna(i) else int(i) for i in frame["doc_id"].astype("Int64").array], frame["text"].tolist()
-            for start in range(0, len(texts), 500):
-                for i, x in zip(ids[start:start + 500], own.encode_all(texts[start:start + 500])):
-                    writer.add(i, np.concatenate((x, end)))
-                    n += 1
-        if n:
-            path = f"{folder}/{uuid.uuid4().hex}.wm"
-            data = writer.file()
+        own = worker_state(("wavelet", tokenizer), lambda: Tokens(tokenizer))
+        end, wait, docs, lengths, seq = np.array([end_id], "<u2"), [], [], [], 0
+
+        def close():
+            path, ids = f"{folder}/{uuid.uuid4().hex}.wm", np.concatenate(wait)
             fs, inner = pafs.FileSystem.from_uri(path)
             fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
             with fs.open_output_stream(inner) as f:
-                f.write(data)
-            yield pd.DataFrame([(path, writer.docs[0], 0, n, sum(writer.lengths))], columns=["path", "first_id", "part", "n_docs", "n_ids"]).astype({"first_id": "Int64"})
-        gc.enable()
-        gc.collect()
+                f.write(pack(docs, lengths, ids))
+            return pa.RecordBatch.from_pandas(pd.DataFrame([(path, seq, len(docs), len(ids))], columns=names).astype({"seq": "int32"}), preserve_index=False)
 
-    files = body.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(batches, MANIFEST)
+        for frame in frames:
+            for start, texts in batches_of(frame["text"], BATCH_BYTES):
+                size = sum(lengths)
+                for i, ids in zip(frame["doc_id"].slice(start, len(texts)).to_pylist(), own.encode(texts)):
+                    docs.append(i)
+                    lengths.append(len(ids) + 1)
+                    wait += [ids, end]
+                    size += len(ids) + 1
+                    if size >= SHARD_IDS or len(docs) >= SHARD_DOCS:
+                        yield close()
+                        wait, docs, lengths, size, seq = [], [], [], 0, seq + 1
+                wait = [np.concatenate(wait)] if wait else []  # lets go of the batch
+        if docs:
+            yield close()
+
+    files = body.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(batches, MANIFEST)
     return materialize(files.withColumn("part", F.spark_partition_id()), "wavelet-manifest")
 
 
@@ -309,22 +294,25 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     def batches(frames):
         for frame in frames:
-            for path, part in zip(frame["path"], frame["part"]):
+            for path, part, seq in zip(frame["path"], frame["part"], frame["seq"]):
                 fs, inner = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(inner) as f:
-                    shard = Shard(f.read())
                 out, start = [], 0
-                for k, (doc_id, ids) in enumerate(shard.documents()):
-                    out.append((part, doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), k))
-                    start += len(ids)
+                with fs.open_input_file(inner) as f:
+                    for doc_id, ids in Shard(f).documents():
+                        out.append((part, seq, doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        start += len(ids)
                 yield pd.DataFrame(out, columns=ROWS.replace(",", "").split()[0::2]).astype({"doc_id": "Int64"})
 
     return manifest.repartition(max(1, min(manifest.count(), 2000)), "path").mapInPandas(batches, ROWS)
 
 
-def token_table(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read back from the files."""
-    manifest = write_shards(docs, tokenizer, pattern, end_id, fresh_path(docs.sparkSession, "wavelet"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file of DOCS_PER_SHARD documents
-    offsets = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return read_shards(manifest).join(offsets, "part").select("doc_id", (F.col("base") + F.col("local_start")).cast("long").alias("start"), "n_tokens", "ids_crc32")
+    manifest = write_shards(docs, tokenizer, end_id, fresh_path(docs.sparkSession, "wavelet"))
+    # Sums of 4,096 tasks' files first, so that the one window without a partition has a row for some 16 million documents.
+    files = manifest.select("part", "seq", "n_ids", F.expr("part div 4096").alias("block"))
+    in_order = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = files.groupBy("block").agg(F.sum("n_ids").alias("n")).select("block", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))
+    in_block = Window.partitionBy("block").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.join(blocks, "block").select("part", "seq", (F.col("before") + F.coalesce(F.sum("n_ids").over(in_block), F.lit(0))).alias("base"))
+    return read_shards(manifest).join(offsets, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local_start")).cast("long").alias("start"), "n_tokens", "ids_crc32")

@@ -3,18 +3,22 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assetlens.llm import bpe, chat, contamination, licenses, media, ngram_join, quality, queries, sharding, suffix_dedup, wavelet
+from assetlens.llm import bpe, chat, chunks, contamination, licenses, media, ngram_join, quality, queries, sharding, suffix_dedup, wavelet
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, head string, size int, node string"
@@ -294,6 +298,7 @@ def test_op9_equals_the_library(spark, hard):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     rnd = random.Random(7)
     rows = hard + [(500 + i, "".join(rnd.choice("aabbt he'\n\t .1é漢🙂\x1c\x85") for _ in range(rnd.randint(0, 120))), "", 1, "") for i in range(200)]
+    rows += [(800 + i, t, "", 1, "") for i, t in enumerate(["the" * 300, "x" * 50_000, "=" * 3000 + "a", "né" * 400, "".join(rnd.choice("etaoinshrdlu") for _ in range(900))])]
     got = Counter((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_decode(frame(spark, rows), RANKS, public_tokenizers.PATTERN).collect())
     want = Counter()
     for _, t, *_ in rows:
@@ -307,24 +312,51 @@ def test_op10_files_hold_the_ids(spark, hard):
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [r for r in hard if r[0] is not None]
-    got = wavelet.token_table(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).orderBy("start").collect()
+    got = wavelet.token_table(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json")).orderBy("start").collect()
     start = 0
     for r, (i, text, *_) in zip(got, sorted(rows, key=lambda r: r[0])):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert tuple(r) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    assert wavelet.token_table(frame(spark, rows).limit(0), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
+    assert wavelet.token_table(frame(spark, rows).limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_op10_rank_select():
-    x = np.random.default_rng(0).integers(0, 300, 5000).astype(np.uint16)
-    w = wavelet.Writer()
-    w.add(1, x)
-    shard = wavelet.Shard(w.file())
-    assert [shard.access(i) for i in range(0, 5000, 97)] == x[::97].tolist()
+    x = np.random.default_rng(0).integers(0, 300, 300_000).astype(np.uint16)
+    shard = wavelet.Shard(pa.BufferReader(wavelet.pack([1, None], [5, len(x) - 5], x)))
+    assert [shard.access(i) for i in range(0, len(x), 5003)] == x[::5003].tolist() and shard.access(len(x) - 1) == x[-1]
     for token in (0, 7, 299, 60000):
         at = np.flatnonzero(x == token)
-        assert shard.count(token) == len(at) and [shard.occurrence(token, k) for k in range(len(at))] == at.tolist()
+        assert shard.count(token) == len(at) and shard.count(token, 511) == (at < 511).sum()
+        assert [shard.occurrence(token, k) for k in range(0, len(at), 97)] == at[::97].tolist()
+        with pytest.raises(IndexError):
+            shard.occurrence(token, len(at))
+    assert [(i, ids.tolist()) for i, ids in shard.documents()] == [(1, x[:5].tolist()), (None, x[5:].tolist())]
+    one = wavelet.Shard(pa.BufferReader(wavelet.pack([7], [1], np.array([2], np.uint16))))
+    assert one.access(0) == 2 and one.count(2) == 1 and one.occurrence(2, 0) == 0 and one.decode().tolist() == [2]
+
+
+def test_pieces_join_to_their_texts_and_words_are_pre_tokens():
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    rnd = random.Random(3)
+    texts = [None, "", " ", " a", "a ", "a\n", "\na", "a\nb\nc d\ne", "a \nb", "a\n b", "a  b", "x\n\ny", "a \x1cb\x85c\u180e d\u3000e", "it's. 12.5 a.b, c:"]
+    texts += ["".join(rnd.choice("ab \n\t.é1'\x1c") for _ in range(rnd.randrange(40))) for _ in range(2000)]
+    batch = chunks.coded(pa.array(texts, pa.string()))
+    names = batch.pieces.to_pylist()
+    order, flat, ends = chunks.words(batch.pieces, pattern.findall)
+    cut, flat = {}, flat.to_pylist()
+    for k, i in enumerate(order.tolist()):
+        cut[names[i]] = flat[ends[k]:ends[k + 1]]
+    for k, i in enumerate(batch.order.tolist()):
+        own = [names[c] for c in batch.codes[batch.ends[k]:batch.ends[k + 1]]]
+        assert "".join(own) == (texts[i] or "")
+        assert [w for p in own for w in cut[p]] == pattern.findall(texts[i] or "")
+
+
+def test_letters_of_arrow_are_letters_of_the_pattern():
+    signs = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    found = pc.match_substring_regex(pa.array(signs), r"^\pL$").to_numpy(zero_copy_only=False)
+    assert regex.fullmatch(r"\p{L}+", "".join(c for c, f in zip(signs, found) if f))
 
 
 def test_pipeline_stages(spark):
