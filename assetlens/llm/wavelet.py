@@ -47,7 +47,7 @@ GROUP = 2000
 #: Segments that an open shard keeps.
 OPEN = 64
 MANIFEST = "path string, seq int, n_docs long, n_ids long"
-ROWS = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def build(ids: np.ndarray) -> tuple[dict, list[bytes]]:
@@ -289,30 +289,38 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
     return materialize(files.withColumn("part", F.spark_partition_id()), "wavelet-manifest")
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """Every document of every file, decoded from its bit-planes."""
+def with_offsets(manifest: DataFrame) -> DataFrame:
+    """The manifest with ``base``, the number of ids in all files before.
+
+    Sums of 4,096 tasks' files come first, so that the one window without a partition, and the side that is broadcast, have
+    a row for some 16 million documents.
+    """
+    files = manifest.withColumn("block", F.expr("part div 4096"))
+    in_order = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = files.groupBy("block").agg(F.sum("n_ids").alias("n")).select("block", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))
+    in_block = Window.partitionBy("block").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("before") + F.coalesce(F.sum("n_ids").over(in_block), F.lit(0))
+    return files.join(F.broadcast(blocks), "block").select("path", base.cast("long").alias("base"))
+
+
+def read_shards(files: DataFrame, tasks: int) -> DataFrame:
+    """Every document of every file (path, base), decoded from its bit-planes."""
 
     def batches(frames):
         for frame in frames:
-            for path, part, seq in zip(frame["path"], frame["part"], frame["seq"]):
+            for path, start in zip(frame["path"], frame["base"].tolist()):
                 fs, inner = pafs.FileSystem.from_uri(path)
-                out, start = [], 0
+                out = []
                 with fs.open_input_file(inner) as f:
                     for doc_id, ids in Shard(f).documents():
-                        out.append((part, seq, doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
                 yield pd.DataFrame(out, columns=ROWS.replace(",", "").split()[0::2]).astype({"doc_id": "Int64"})
 
-    return manifest.repartition(max(1, min(manifest.count(), 2000)), "path").mapInPandas(batches, ROWS)
+    return files.repartition(tasks, "path").mapInPandas(batches, ROWS)
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read back from the files."""
     manifest = write_shards(docs, tokenizer, end_id, fresh_path(docs.sparkSession, "wavelet"))
-    # Sums of 4,096 tasks' files first, so that the one window without a partition has a row for some 16 million documents.
-    files = manifest.select("part", "seq", "n_ids", F.expr("part div 4096").alias("block"))
-    in_order = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = files.groupBy("block").agg(F.sum("n_ids").alias("n")).select("block", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))
-    in_block = Window.partitionBy("block").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.join(blocks, "block").select("part", "seq", (F.col("before") + F.coalesce(F.sum("n_ids").over(in_block), F.lit(0))).alias("base"))
-    return read_shards(manifest).join(offsets, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local_start")).cast("long").alias("start"), "n_tokens", "ids_crc32")
+    return read_shards(with_offsets(manifest), max(1, min(manifest.count(), 2000)))
