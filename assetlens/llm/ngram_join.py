@@ -2,230 +2,260 @@
 
 Words are runs of anything but blank, tab, line feed, vertical tab, form feed and carriage return, with A-Z in lower case;
 a document's set holds its distinct ``n``-word shingles (one for the whole sequence if it has fewer words). Two documents
-link when 100 * intersection >= percent * union. Then, under any order of the tokens, they share a token among the first
-size - ceil(percent * size / 100) + 1 of each. Every order used here puts rare tokens first (by a sketch of counts over
-all documents, of fixed size) and breaks ties by a permutation of its own; a pair is a candidate only if it shares a prefix
-token under all ORDERS, the sizes allow the threshold, and the parity bitmaps of the sets differ in no more bits than
-linked sets may differ in tokens. None of these filters loses a link. Candidates are verified on the whole sets.
-
-Equal sets are one class. A class links first to the most central class of each prefix token's list (the one whose prefix
-is most frequent, which is what near copies of one text share), so a large group costs one pair for each member; then
-pairs are made only between classes that are not yet in one component. So all pairs of a group are never emitted, and as
-no link between components is skipped, the components are exact.
-
-Sets are kept only for classes in candidate pairs, found in a second reading by a bitmap of fixed size, so no text and no
-full set of all documents is shuffled.
+link when 100 * intersection >= percent * union. Then, under any global order of the tokens, one of the first ``index``
+tokens of the smaller set is among the first ``probe`` tokens of the larger, where these lengths leave too few tokens behind
+them for the overlap that the threshold asks for.
+
+Orders. A fixed share of the hash space is counted exactly over all documents; its tokens come before all others. A token
+that only one set holds comes before all those, in every order, and is never sent on: most sets have so many that nothing
+is left of their prefixes. Order 0 puts rare tokens first, the others put them by hashes of their own. A pair is a candidate
+only if its prefixes meet under all ORDERS.
+
+Groups. All members of a token's list under order 0 meet its hub, the member with the smallest share of tokens of its own.
+Let D be the symmetric difference of a set and its hub's. Two members of which D and D' have no more tokens together than
+linked sets may differ in both link to the hub: if |D| + |D'| <= c (|x| + |y|) with c = (100 - percent) / (100 + percent) < 1,
+then |y| <= |h| + |D'| gives |D| <= c (|x| + |h|). Any others that link must share tokens of D and D', so these are joined
+by prefixes in their turn, those that are alone in the group first. Copies with edits of their own share few of them, so
+neither the pairs of a group nor those of a list are ever emitted, and no link is lost. Candidates are verified on whole
+sets, and only if they aren't in one component by then.
+
+Whole sets are kept only for documents that have a prefix left, found in a second reading by a bitmap of BITMAP_A_KEY bits
+for each, 2**MOST_BITS at most; when it fills up, more sets are built and dropped in the join behind it.
 
 Edge cases: null text is empty; texts without words have an empty set, link with nothing and are their own component; rows
-that share a doc_id count as one document; a null doc_id links with nothing; repeated rows are kept; other columns are
-ignored; an empty table gives an empty result.
+that share a doc_id are one document, whose links are those of all its rows, while n_shingles is each row's own; a null
+doc_id links with nothing; repeated rows are kept; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetlens.llm.chunks import batches_of
 from assetlens.llm.graph import components
-from assetlens.llm.runtime import id_and_text, materialize, release, split_by_bitmap
+from assetlens.llm.runtime import free_name, id_and_text, materialize, release, split_by_bitmap
 
-ORDERS = 2  # a power of two
-SKETCH_BITS = 18
-BITMAP_BITS = 23
-WORD_CACHE = 400_000
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+ORDERS = 3
+BATCH_BYTES = 8_000_000
+BITMAP_A_KEY, MOST_BITS = 16, 28
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+_SEEDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xE7037ED1A0B428DB))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
+def mix(h: np.ndarray, seed: np.uint64) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * seed
+    return h ^ (h >> np.uint64(29))
 
 
-_WORDS = _Words()
+def shingles(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """For each text the distinct 64-bit hashes of its n-word shingles, sorted."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    coded = split.flatten().dictionary_encode()
+    own = pd.util.hash_array(coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False), categorize=False)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    real = (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0)[codes]  # white space at an end leaves an empty string
+    counts = np.concatenate(([0], np.cumsum(real)))
+    bounds = counts[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))))]
+    h = own[codes[real]]
 
+    def rolled(x: np.ndarray, k: int) -> np.ndarray:
+        out = np.full(max(0, len(x) - k + 1), k, np.uint64)
+        for i in range(k):
+            out = (out * _MUL) ^ (x[i:len(x) - k + 1 + i] + (out >> np.uint64(29)))
+        return out * _MUL
 
-def shingles(text: str, n: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the n-word shingles, sorted."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = (out * _MUL) ^ (h[i:len(h) - k + 1 + i] + (out >> np.uint64(29)))
-    return np.unique(out * _MUL)
+    rows, out = rolled(h, n), []
+    for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        out.append(np.unique(rows[start:stop - n + 1]) if stop - start >= n else rolled(h[start:stop], stop - start) if stop > start else np.zeros(0, np.uint64))
+    return out
 
 
-def mix(h: np.ndarray, seed: np.uint64) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * seed
-    return h ^ (h >> np.uint64(29))
+def digest_of(tokens: np.ndarray) -> str:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest()
 
 
-def id_slots(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64), _SEEDS[2]) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+class Bitmap:
+    """Whether a 64-bit key may be among some; fixed bits for each key up to 2**MOST_BITS in all."""
 
+    def __init__(self, keys: DataFrame):
+        self.shift = shift = np.uint64(64 - min(MOST_BITS, max(16, int(keys.count() * BITMAP_A_KEY).bit_length())))
 
-def bitmap_of(ids: DataFrame) -> np.ndarray:
-    """Bits of fixed number that hold the slot of every id; 2**BITMAP_BITS / 64 words at most come to the driver."""
+        def slots(frames):
+            for frame in frames:
+                slot = np.unique(mix(frame["key"].to_numpy(np.int64).view(np.uint64), _SEEDS[1]) >> shift)
+                word, first = np.unique(slot >> np.uint64(6), return_index=True)
+                yield pd.DataFrame({"word": word.astype(np.int64), "bits": np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), first).view(np.int64) if len(word) else np.zeros(0, np.int64)})
 
-    def slots(frames):
-        for frame in frames:
-            yield pd.DataFrame({"slot": np.unique(id_slots(frame["id"].to_numpy()))})
+        rows = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).filter("key IS NOT NULL").mapInPandas(slots, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+        self.words = np.zeros(1 << (58 - int(shift)), np.uint64)
+        self.words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
 
-    rows = ids.select(F.col("id").cast("long")).mapInPandas(slots, "slot long").groupBy(F.expr("slot >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toPandas()
-    words = np.zeros((1 << BITMAP_BITS) // 64, np.int64)
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = mix(keys.astype(np.int64).view(np.uint64), _SEEDS[1]) >> self.shift
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def sets_table(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, size, digest) of every document, and the sketch: how many sets hold a token of each slot."""
+def sets_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, size, digest, tokens of the counted share, extra) of every document row.
 
-    def batches(frames):
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        for frame in frames:
-            size, digest = [], []
-            for text in frame["text"]:
-                s = shingles(text, n)
-                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                size.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "size": size, "digest": digest, "slot": None, "count": None})
-        held = np.flatnonzero(counts)
-        for at in range(0, len(held), 50_000):
-            yield pd.DataFrame({"doc_id": None, "size": None, "digest": None, "slot": held[at:at + 50_000], "count": counts[held[at:at + 50_000]]})
-
-    both = materialize(docs.mapInPandas(batches, "doc_id long, size long, digest string, slot int, count long"), "shingle-sets")
-    rows = both.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("count").alias("count")).toPandas()  # at most 2**SKETCH_BITS rows
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[rows["slot"].to_numpy(np.int64)] = rows["count"].to_numpy(np.int64)
-    return both.filter("size IS NOT NULL").select("doc_id", "size", "digest"), sketch
-
-
-def prefixes(docs: DataFrame, keep: np.ndarray, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(id, size, p0..p3 parity bitmap, central, token lists of each order) of every document whose id is kept."""
-    level = np.floor(2 * np.log2(np.maximum(sketch, 1))).astype(np.uint64)
+    ``extra`` fills up the prefix of a set whose counted share is shorter: the other tokens that come first by their hash.
+    """
+    share = min(1.0, 2 * (100 - percent) / 100)
+    edge = np.uint64(int(share * (1 << 63)) * 2 - (share == 1.0))
 
     def batches(frames):
         for frame in frames:
-            frame = frame[frame["doc_id"].notna()]
-            frame = frame[keep[id_slots(frame["doc_id"].to_numpy(np.int64))]]
-            out = []
-            for i, text in zip(frame["doc_id"].tolist(), frame["text"]):
-                s = shingles(text, n)
-                if not len(s):
-                    continue
-                bits = np.bincount((mix(s, _SEEDS[2]) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-                parity = np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
-                own = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                length = len(s) - -(-percent * len(s) // 100) + 1
-                lists = []
-                for r in range(ORDERS):
-                    key = (own << np.uint64(57)) | (mix(s, _SEEDS[r]) >> np.uint64(7))
-                    at = np.argpartition(key, length - 1)[:length] if length < len(s) else np.arange(len(s))
-                    lists.append((mix(s[at], _SEEDS[r]) & ~np.uint64(ORDERS - 1) | np.uint64(r)).view(np.int64))  # the order in the lowest bits
-                    if not r:
-                        central = float(own[at].mean())
-                out.append((int(i), len(s), *parity, central, *lists))
-            yield pd.DataFrame(out, columns=["id", "size", "p0", "p1", "p2", "p3", "central", *(f"t{r}" for r in range(ORDERS))])
-
-    lists = ", ".join(f"t{r} array<long>" for r in range(ORDERS))
-    return materialize(docs.mapInPandas(batches, f"id long, size long, p0 long, p1 long, p2 long, p3 long, central double, {lists}"), "prefixes")
-
-
-def _may_link(percent: int):
-    """Sizes and parity bitmaps of a and b leave the threshold within reach."""
-    differ = " + ".join(f"bit_count(a.p{i} ^ b.p{i})" for i in range(4))
-    return F.expr(f"100 * least(a.size, b.size) >= {percent} * greatest(a.size, b.size) AND ({differ}) * {100 + percent} <= (a.size + b.size) * {100 - percent}")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Whole sets are built for the ids in pairs only."""
-    keep = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+            for start, texts in batches_of(frame["text"], BATCH_BYTES):
+                size, digest, tokens, extra = [], [], [], []
+                for s in shingles(texts, n):
+                    h = mix(s, _SEEDS[0])
+                    counted, need = s[h <= edge], len(s) - -(-percent * len(s) // 100) + 1
+                    rest = np.sort(h[h > edge])[:max(0, need - len(counted))] if len(s) else s  # the hash is one to one
+                    size.append(len(s))
+                    digest.append(digest_of(s) if len(s) else None)
+                    tokens.append(counted.view(np.int64))
+                    extra.append(rest.view(np.int64))
+                yield pa.RecordBatch.from_arrays([frame["doc_id"].slice(start, len(texts)), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(tokens, pa.list_(pa.int64())), pa.array(extra, pa.list_(pa.int64()))], names=["doc_id", "size", "digest", "tokens", "extra"])
+
+    return materialize(docs.mapInArrow(batches, "doc_id long, size long, digest string, tokens array<long>, extra array<long>"), "shingle-sets")
+
+
+def whole_sets(docs: DataFrame, open_nodes: DataFrame, n: int) -> DataFrame:
+    """(node, tokens) of the open nodes, from a second reading of the texts."""
+    wanted = Bitmap(open_nodes.select("doc_id"))
 
     def build(frames):
         for frame in frames:
-            frame = frame[frame["doc_id"].notna()]
-            frame = frame[keep[id_slots(frame["doc_id"].to_numpy(np.int64))]]
-            yield pd.DataFrame([(int(i), shingles(t, n).view(np.int64)) for i, t in zip(frame["doc_id"].tolist(), frame["text"])], columns=["id", "tokens"])
+            ids = frame["doc_id"]
+            frame = frame.filter(pa.array(wanted.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)))
+            for start, texts in batches_of(frame["text"], BATCH_BYTES):
+                sets = shingles(texts, n)
+                yield pa.RecordBatch.from_arrays([frame["doc_id"].slice(start, len(texts)), pa.array([digest_of(s) for s in sets], pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "digest", "tokens"])
+
+    found = docs.mapInArrow(build, "doc_id long, digest string, tokens array<long>").join(open_nodes.select("doc_id", "digest", "node"), ["doc_id", "digest"])
+    return materialize(found.groupBy("node").agg(F.any_value("tokens").alias("tokens")), "whole-sets")
+
+
+def _near(percent: int, a: str, b: str) -> str:
+    """The sizes leave the threshold within reach."""
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+
+
+def measured(pairs: DataFrame, sets: DataFrame, with_tokens: bool) -> DataFrame:
+    """(a, b, differ, tokens) of pairs (a, b): the size of the symmetric difference of their sets, and what is in it."""
 
-    def check(frames):
+    def measure(frames):
         for frame in frames:
-            ok = []
-            for x, y in zip(frame["x"], frame["y"]):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            yield frame.loc[np.array(ok, bool), ["a", "b"]]
-
-    sets = materialize(docs.mapInPandas(build, "id long, tokens array<long>"), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    links = materialize(joined.select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), "links")
-    release(sets)
+            out = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(frame["x"], frame["y"])]
+            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "differ": [len(d) for d in out], "tokens": out if with_tokens else None})
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInPandas(measure, "a long, b long, differ long, tokens array<long>")
+
+
+def links_of(classes: DataFrame, body: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) of nodes such that their components are those of all links between classes (node, doc_id, digest, size, tokens, extra)."""
+    probe = F.expr(f"size - cast(ceil({percent} * size / 100D) AS long) + 1")
+    index = F.expr(f"size - cast(ceil(2 * {percent} * size / {100 + percent}D) AS long) + 1")
+
+    counted = materialize(classes.select(F.explode("tokens").alias("token"), "node").groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("node")), "token-counts")
+    alone = counted.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    known = classes.join(alone, "node", "left").na.fill(0, ["alone"]).withColumn("probe", probe - F.col("alone")).filter("probe > 0").withColumn("index", index - F.col("alone"))
+    known = materialize(known.withColumn("central", F.col("alone") / F.col("size")), "open-classes")
+    shared = known.select("node", F.explode("tokens").alias("token")).join(counted.filter("n > 1").select("token", "n"), "token")
+    by_hash = [F.expr(f"slice(transform(array_sort(transform(held, t -> struct(xxhash64(t.token, {r}) AS h, t.token AS token))), t -> t.token), 1, cast(probe AS int))") for r in range(1, ORDERS)]
+    held = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("held"))  # one document's tokens at most
+    orders = known.join(held, "node", "left").withColumn("held", F.coalesce("held", F.expr("cast(array() AS array<struct<n: bigint, token: bigint>>)")))
+    first = [F.expr("slice(transform(held, t -> t.token), 1, cast(probe AS int))"), *by_hash]
+    prefixes = orders.select("node", "doc_id", "digest", "size", "index", "central", *(F.concat(p, "extra").alias(f"t{r}") for r, p in enumerate(first)))
+    prefixes = materialize(prefixes.filter("size(t0) > 0"), "prefixes")
+    release(counted, known)
+    sizes = prefixes.select("node", "size")
+
+    lists = prefixes.select("node", "central", F.explode("t0").alias("token"))
+    hubs = lists.groupBy("token").agg(F.min(F.struct("central", "node")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("token", F.col("hub.node").alias("hub"))
+    stars = lists.join(hubs, "token").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = materialize(stars, "stars")
+    touched = materialize(prefixes.join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "touched")
+    sets = whole_sets(body, touched, n)
+    apart = materialize(measured(stars, sets, True), "differences")
+    sized = apart.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
+    star_links = materialize(sized.filter(f"{100 + percent} * differ <= {100 - percent} * (size_a + size_b)").select("a", "b"), "star-links")
+    star_parts = components(star_links)
+
+    # Members b of the groups of hubs a that lie in more than one component, and what they differ from the hub in.
+    placed = sized.join(star_parts.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", -1 - F.col("b")))
+    spread = placed.groupBy(F.col("a").alias("group")).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("group")
+    placed = materialize(placed.withColumnRenamed("a", "group").join(spread, "group").select("group", "b", "differ", "component", F.col("size_b").alias("size"), "tokens"), "members")
+    rows = placed.select("group", "b", "component", F.explode("tokens").alias("token"))
+    often = rows.groupBy("group", "token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    often = materialize(often.filter("low < high").select("group", "token", "n"), "shared-differences")
+    # Tokens whose holders lie in one component link nothing anew and come first, with those that are alone.
+    kept = rows.join(often, ["group", "token"]).groupBy("group", "b").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("kept"))
+    most = f"cast(floor({100 - percent} * (size + floor(size * 100 / {percent}D)) / {100 + percent}D) AS long)"  # what a link may differ in
+    kept = placed.drop("tokens").join(kept, ["group", "b"]).withColumn("before", F.expr("differ - size(kept)")).withColumn("most", F.expr(most))
+    kept = kept.select("*", F.posexplode("kept").alias("at", "held")).filter("before + at <= most").select("group", "b", "differ", "component", "size", F.col("held.token").alias("token"), F.expr("before + at <= most div 2").alias("indexed"))
+    kept = materialize(kept, "difference-prefixes")
+    x, y = kept.filter("indexed").alias("x"), kept.alias("y")
+    meets = x.join(y, F.expr("x.group = y.group AND x.token = y.token AND x.component <> y.component AND (x.differ < y.differ OR x.differ = y.differ AND x.b < y.b) AND " + _near(percent, "x.size", "y.size")))
+    pairs = meets.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+    # The other orders: the smaller set's index prefix has to meet the larger one's prefix.
+    arrays = prefixes.select("node", "size", "index", *(f"t{r}" for r in range(1, ORDERS)))
+    both = pairs.join(arrays.alias("p"), F.col("a") == F.col("p.node")).join(arrays.alias("q"), F.col("b") == F.col("q.node"))
+    small, large = (f"CASE WHEN (p.size, p.node) {sign} (q.size, q.node) THEN p.%s ELSE q.%s END" for sign in ("<", ">"))
+    meet = " AND ".join(f"arrays_overlap(slice({small % (t, t)}, 1, greatest(0, cast({small % ('index', 'index')} AS int))), {large % (t, t)})" for t in (f"t{r}" for r in range(1, ORDERS)))
+    candidates = materialize(both.filter(F.expr(meet)).select("a", "b", (F.col("p.size") + F.col("q.size")).alias("together")), "candidates")
+    more = measured(candidates.select("a", "b"), sets, False).join(candidates, ["a", "b"]).filter(f"{100 + percent} * differ <= {100 - percent} * together").select("a", "b")
+    links = materialize(star_links.unionByName(more), "links")
+    release(prefixes, stars, touched, sets, apart, star_links, placed, often, kept, candidates)
     return links
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), one row for each document row."""
+    if Fraction(percent) <= 0 or percent > 100:
+        raise ValueError("percent must lie in (0, 100]")
     body = id_and_text(docs)
-    sets, sketch = sets_table(body, n)
-    classes = sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    classes = materialize(classes, "classes")
-    nodes = classes.filter("node IS NOT NULL").select(F.col("node").alias("id"))
-    table = prefixes(body, bitmap_of(nodes), sketch, n, percent)
-    # Most central first, so that the hub of a list is its least number; numbers replace ids in all that is shuffled.
-    tokens = materialize(table.repartitionByRange(F.desc("central"), "id").sortWithinPartitions(F.desc("central"), "id").select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
-    release(table)
-    small = materialize(tokens.select("node", "id", "size", "p0", "p1", "p2", "p3"), "bitmaps")
-    all_orders = (1 << ORDERS) - 1
-    rows = tokens.select("node", F.explode(F.concat(*(f"t{r}" for r in range(ORDERS)))).alias("token"))
-    same = Window.partitionBy("token")
-    rows = rows.withColumn("hub", F.min("node").over(same)).withColumn("last", F.max("node").over(same))
-    lists = materialize(rows.filter("hub < last").select("token", "node", "hub"), "token-lists")
-    release(tokens)
-    bit = F.expr(f"cast(shiftleft(1, cast(token & {ORDERS - 1} AS int)) AS tinyint)")
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        shared = pairs.groupBy("na", "nb").agg(F.expr("bit_or(bit)").alias("bits")).filter(f"bits = {all_orders}").select("na", "nb")
-        near = shared.join(small.alias("a"), F.col("na") == F.col("a.node")).join(small.alias("b"), F.col("nb") == F.col("b.node")).filter(_may_link(percent))
-        return materialize(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).filter("a <> b").distinct(), "candidates")
-
-    stars = _verified(candidates(lists.filter("node <> hub").select(F.col("node").alias("na"), F.col("hub").alias("nb"), bit.alias("bit"))), body, n, percent)
-    joined = components(stars).join(small.select(F.col("id").alias("node"), F.col("node").alias("number")), "node").select(F.col("number").alias("node"), "component")
-    joined = materialize(joined, "star-components")
-    # Nodes without a star link are components of their own, told from others by a negative number.
-    place = lists.select("token", "node").join(joined, "node", "left").select("token", "node", F.when(F.col("component").isNotNull(), F.xxhash64("component")).otherwise(-1 - F.col("node")).alias("component"))
-    place = place.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).filter("low < high").drop("low", "high")
-    place = materialize(place, "open-lists")
-    release(lists)
-    place = place.join(small.drop("id"), "node")
-    cross = place.alias("a").join(place.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & _may_link(percent))
-    more = _verified(candidates(cross.select(F.least("a.node", "b.node").alias("na"), F.greatest("a.node", "b.node").alias("nb"), F.expr(f"cast(shiftleft(1, cast(a.token & {ORDERS - 1} AS int)) AS tinyint)").alias("bit"))), body, n, percent)
-    final = components(stars.unionByName(more)).withColumnRenamed("node", "id")
-    named = classes.join(final, classes["node"] == final["id"], "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return sets.join(named, "digest", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+    sets = sets_table(body, n, percent)
+    known = sets.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"), F.any_value("tokens").alias("tokens"), F.any_value("extra").alias("extra"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
+    names = classes.select("node", "doc_id", "digest")
+    links = links_of(classes, body, n, percent)
+    # Documents of several rows with different sets join the classes of these.
+    several = sets.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("one"), F.countDistinct(F.coalesce("digest", F.lit(""))).alias("n")).filter("n > 1").select("doc_id", "one")
+    several = materialize(several.join(sets.select("doc_id", "digest"), "doc_id").filter("digest IS NOT NULL").distinct(), "several")
+    node_of = names.select("digest", "node")
+    joined = several.join(node_of, "digest").select("one", F.col("node").alias("a")).join(node_of.select(F.col("digest").alias("one"), F.col("node").alias("b")), "one").select("a", "b")
+    parts = materialize(components(links.unionByName(joined)), "parts")
+    least = names.join(parts, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = parts.join(least, "component").select("node", "component_id")
+    named = materialize(names.join(least, "node", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id")), "named")
+    by_doc = several.join(named, "digest").groupBy("doc_id").agg(F.min("component_id").alias("by_doc"))
+    out = sets.select("doc_id", "size", "digest").join(named, "digest", "left").join(by_doc, "doc_id", "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("by_doc", "component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents with all their columns, but of each component only the one with the least doc_id.
 
     Of rows that share a doc_id the one with the least text stays; rows without a doc_id stay. Only rows that may be
-    dropped are shuffled.
+    dropped are shuffled. Columns of any name are left alone.
     """
     found = materialize(near_duplicates(docs, n, percent), "components")
     own = F.col("doc_id") == F.col("component_id")
     touched = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(own).alias("stays")).filter("n > 1 OR NOT stays")
-    touched = materialize(touched.select(F.col("doc_id").alias("__id"), F.col("stays").alias("__stays")), "dropped")
-    some, rest = split_by_bitmap(docs, F.col("doc_id"), bitmap_of(touched.select(F.col("__id").alias("id"))), id_slots)
-    some = some.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    some = some.join(touched, F.col("doc_id") == F.col("__id"), "left").filter("__id IS NULL OR (__stays AND __row = 1)")
-    return rest.unionByName(some.select(*docs.columns))
+    id_name, stays, row = (free_name(x, docs.columns) for x in ("id", "stays", "row"))
+    touched = materialize(touched.select(F.col("doc_id").alias(id_name), F.col("stays").alias(stays)), "dropped")
+    some, rest = split_by_bitmap(docs, F.col("doc_id"), Bitmap(touched.select(id_name)).has)
+    some = some.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    some = some.join(touched, F.col("doc_id") == F.col(id_name), "left").filter(f"`{id_name}` IS NULL OR (`{stays}` AND `{row}` = 1)")
+    return rest.unionByName(some.select(*(f"`{c}`" for c in docs.columns)))

@@ -71,20 +71,29 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def split_by_bitmap(docs: DataFrame, key: Column, bitmap, slots) -> tuple[DataFrame, DataFrame]:
-    """(rows whose 64-bit key may be in the bitmap, rows whose key surely is not), all columns kept, nothing shuffled.
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that none of those taken equals, whatever its case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
-    ``slots`` maps keys to bits. Null keys are surely not in it.
+
+def split_by_bitmap(docs: DataFrame, key: Column, has) -> tuple[DataFrame, DataFrame]:
+    """(rows whose 64-bit key may be among some, rows whose key surely is not), all columns kept, nothing shuffled.
+
+    ``has`` tells for an array of keys whether each may be. Null keys are surely not.
     """
     import pyarrow as pa
 
+    name = free_name("key", docs.columns)
+
     def half(wanted: bool):
         def batches(arrow):
             for batch in arrow:
                 keys = batch.column(batch.num_columns - 1)
-                found = bitmap[slots(keys.fill_null(0).to_numpy(zero_copy_only=False))] & keys.is_valid().to_numpy(zero_copy_only=False)
+                found = has(keys.fill_null(0).to_numpy(zero_copy_only=False)) & keys.is_valid().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(found == wanted))
 
-        return docs.select("*", key.cast("long").alias("__key")).mapInArrow(batches, docs.schema)
+        return docs.select("*", key.cast("long").alias(name)).mapInArrow(batches, docs.schema)
 
     return half(True), half(False)

@@ -400,7 +400,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None)
     """
     import pyarrow as pa
 
-    from assetlens.llm.ngram_join import bitmap_of, id_slots
+    from assetlens.llm.ngram_join import Bitmap
 
     _, lost = repeated_strings(docs, length, spans=True)
     if words:
@@ -420,7 +420,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None)
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.string())).drop_columns(["__starts", "__ends"])
 
     tid = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    some, rest = split_by_bitmap(docs, F.xxhash64(tid), bitmap_of(lost.select(F.xxhash64("__tid").alias("id"))), id_slots)
+    some, rest = split_by_bitmap(docs, F.xxhash64(tid), Bitmap(lost.select(F.xxhash64("__tid"))).has)
     some = some.withColumn("__key", tid).join(lost, F.col("__key") == F.col("__tid"), "left").drop("__key")
     some = some.mapInArrow(cut, some.drop("__starts", "__ends").schema).filter("__tid IS NULL OR trim(text) <> ''")
     if "n_chars" in docs.columns:

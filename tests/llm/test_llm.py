@@ -167,7 +167,7 @@ def test_op4_payload_survives(spark, hard):
 def brute_components(rows, n, percent):
     sets = {}
     for i, t, *_ in rows:
-        w = (t or "").encode().lower().split() if not t or t.isascii() else (t or "").encode().translate(ngram_join._LOWER).split()
+        w = (t or "").encode().lower().split() if not t or t.isascii() else (t or "").encode().lower().split()
         sets[i] = {tuple(w[k:k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
     label = {i: i for i in sets if i is not None}
 
@@ -199,10 +199,37 @@ def test_op5_equals_brute_force(spark, hard, n, percent):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, rows), n, percent).collect() if r["doc_id"] is not None}
     assert got == brute_components(rows, n, percent)
     assert ngram_join.near_duplicates(frame(spark, rows).limit(0), n, percent).count() == 0
-    kept = [r["doc_id"] for r in ngram_join.keep_one(frame(spark, rows), n, percent).collect()]
+    odd = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string, id int, Row string, stays string")
+    kept = [r["doc_id"] for r in ngram_join.keep_one(odd, n, percent).collect()]
     assert Counter(kept) == Counter([*{c for _, c in got.values()}, None])
 
 
+def test_op5_near_copies_that_do_not_all_link(spark):
+    """Copies with edits of their own link to their source but seldom to each other; some share a second edit."""
+    rnd = random.Random(21)
+    rows = []
+    for g, (size, edits) in enumerate([(400, 6), (400, 14), (150, 3), (60, 1)]):
+        base = [rnd.choice("abcdefghij") + str(rnd.randrange(500)) for _ in range(size)]
+        for c in range(60):
+            w = list(base)
+            if c % 5 == 4:
+                w[5:25] = [f"v{g}w{k}" for k in range(20)]
+            for _ in range(rnd.randrange(edits + 1)):
+                w[rnd.randrange(len(w))] = f"e{rnd.randrange(10**6)}"
+            rows.append((1000 * g + c, " ".join(w), "", 1, ""))
+    rnd.shuffle(rows)
+    for n, percent in ((3, 90), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, rows), n, percent).collect()}
+        assert got == brute_components(rows, n, percent)
+
+
+def test_op5_rows_that_share_an_id(spark):
+    x, y = "p q r s t u v", "k l m n o"
+    rows = [(1, x, "", 1, ""), (2, x, "", 1, ""), (2, y, "", 1, ""), (0, y, "", 1, ""), (5, None, "", 1, ""), (5, "z z z z", "", 1, ""), (4, "z z z z", "", 1, ""), (None, x, "", 1, "")]
+    got = sorted(map(tuple, ngram_join.near_duplicates(frame(spark, rows), 3, 90).collect()), key=str)
+    assert got == sorted([(1, 5, 0), (2, 5, 0), (2, 3, 0), (0, 3, 0), (5, 0, 4), (5, 1, 4), (4, 1, 4), (None, 5, None)], key=str)
+
+
 def test_op6_held_out_accuracy(spark, hard):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = quality.classify(docs, labels).filter("held_out").join(labels, "doc_id").collect()
