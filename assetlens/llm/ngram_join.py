@@ -195,13 +195,16 @@ def links_of(classes: DataFrame, body: DataFrame, n: int, percent: int) -> DataF
     placed = sized.join(star_parts.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", -1 - F.col("b")))
     spread = placed.groupBy(F.col("a").alias("group")).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("group")
     placed = materialize(placed.withColumnRenamed("a", "group").join(spread, "group").select("group", "b", "differ", "component", F.col("size_b").alias("size"), "tokens"), "members")
-    rows = placed.select("group", "b", "component", F.explode("tokens").alias("token"))
-    often = rows.groupBy("group", "token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    often = materialize(often.filter("low < high").select("group", "token", "n"), "shared-differences")
-    # Tokens whose holders lie in one component link nothing anew and come first, with those that are alone.
-    kept = rows.join(often, ["group", "token"]).groupBy("group", "b").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("kept"))
     most = f"cast(floor({100 - percent} * (size + floor(size * 100 / {percent}D)) / {100 + percent}D) AS long)"  # what a link may differ in
-    kept = placed.drop("tokens").join(kept, ["group", "b"]).withColumn("before", F.expr("differ - size(kept)")).withColumn("most", F.expr(most))
+    placed = placed.withColumn("most", F.expr(most))
+    counted = placed.select("group", "b", "component", F.explode("tokens").alias("token")).groupBy("group", "token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("b").alias("b"))
+    counted = materialize(counted, "difference-counts")
+    # Tokens whose holders lie in one component link nothing anew and come first; a member with enough of its own is done.
+    alone = counted.filter("n = 1").groupBy("group", "b").agg(F.count("*").alias("alone"))
+    busy = materialize(placed.join(alone, ["group", "b"], "left").filter("coalesce(alone, 0) <= most").drop("alone"), "busy-members")
+    often = counted.filter("low < high").select("group", "token", "n")
+    kept = busy.select("group", "b", F.explode("tokens").alias("token")).join(often, ["group", "token"]).groupBy("group", "b").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("kept"))
+    kept = busy.drop("tokens").join(kept, ["group", "b"]).withColumn("before", F.expr("differ - size(kept)"))
     kept = kept.select("*", F.posexplode("kept").alias("at", "held")).filter("before + at <= most").select("group", "b", "differ", "component", "size", F.col("held.token").alias("token"), F.expr("before + at <= most div 2").alias("indexed"))
     kept = materialize(kept, "difference-prefixes")
     x, y = kept.filter("indexed").alias("x"), kept.alias("y")
@@ -215,7 +218,7 @@ def links_of(classes: DataFrame, body: DataFrame, n: int, percent: int) -> DataF
     candidates = materialize(both.filter(F.expr(meet)).select("a", "b", (F.col("p.size") + F.col("q.size")).alias("together")), "candidates")
     more = measured(candidates.select("a", "b"), sets, False).join(candidates, ["a", "b"]).filter(f"{100 + percent} * differ <= {100 - percent} * together").select("a", "b")
     links = materialize(star_links.unionByName(more), "links")
-    release(prefixes, stars, touched, sets, apart, star_links, placed, often, kept, candidates)
+    release(prefixes, stars, touched, sets, apart, star_links, counted, busy, kept, candidates)
     return links
 
 
