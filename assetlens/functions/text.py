@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no concept.
-STOPWORDS = ["a", "an", "and", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "with"]
+STOPWORDS = ["a", "an", "and", "asset", "element", "for", "in", "into", "of", "on", "or", "the", "to", "vfx", "with"]
 
 
 def tokens(text: Column) -> Column:
@@ -28,12 +28,49 @@ def csv_cell(value: Column) -> Column:
     return F.when(F.ltrim(value).rlike(r"^[=+\-@]"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
-def normalized_root(path: Column) -> Column:
-    """File stem in lower case without quality, codec, resolution and version suffixes, squeezed to underscores."""
-    stem = F.lower(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
-    stem = F.regexp_replace(stem, r"[._-](proxy|preview|lowres|hires|h264|h265|prores|dnxhd|uhd|hd|sd|[0-9]{3,4}p|[0-9]k)(?=$|[._-])", "")
-    stem = F.regexp_replace(stem, r"[._-]v[0-9]+$", "")
-    return F.regexp_replace(F.regexp_replace(stem, r"[^a-z0-9]+", "_"), "^_+|_+$", "")
+# Endings that say nothing of what a file shows.
+MASTER_ENDINGS = ["master", "proxy", "preview", "prores", "h264", "h265", "exr", "dpx"]
+SIZE_ENDINGS = ["480p", "720p", "1080p", "2k", "4k", "6k", "8k", "uhd", "hd", "sd"]
+
+
+def stem(path: Column) -> Column:
+    """The file name without its last extension; a leading dot begins no extension."""
+    name = F.regexp_extract(path, r"([^/]*)/*$", 1)
+    return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
+
+
+def normalized_root(path: Column, keep_numbers: bool = False) -> Column:
+    """Lower-case stem without a frame number, one master, one size and one version ending, squeezed to underscores."""
+    plain = F.lower(stem(path))
+    out = plain if keep_numbers else F.regexp_replace(plain, r"(?<![a-z])[0-9]{2,8}$", "")
+    for endings in (MASTER_ENDINGS, SIZE_ENDINGS):
+        out = F.regexp_replace(out, f"[._-]?(?:{'|'.join(endings)})$", "")
+    if not keep_numbers:
+        out = F.regexp_replace(out, r"[._-]+v[0-9]{1,4}$", "")
+    out = F.regexp_replace(F.regexp_replace(out, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(out == "", plain).otherwise(out)
+
+
+def phrase_concepts(text: Column, phrases: list[tuple[str, str]], aliases: dict[str, str] | None = None) -> Column:
+    """Concepts of a text in which phrases, taken in table order, stand for one concept each and their words for none."""
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "  "), F.lit(" "))
+    for k, (phrase, _) in enumerate(phrases):
+        spaced = F.regexp_replace(spaced, " " + " +".join(phrase.split()) + " ", f" #{k}# ")
+    words = F.filter(F.split(F.trim(spaced), " +"), lambda w: w != "")
+    marks = F.create_map(*[F.lit(x) for k, (_, c) in enumerate(phrases) for x in (f"#{k}#", c)], *[F.lit(x) for pair in sorted((aliases or {}).items()) for x in pair])
+    kept = F.filter(words, lambda w: w.startswith("#") | ((F.length(w) >= 2) & ~w.rlike("^[0-9]+$") & ~w.isin(STOPWORDS)))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda w: F.coalesce(F.element_at(marks, w), w))))
+
+
+def snake(value: Column) -> Column:
+    """Runs of anything but ASCII letters and digits become one underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def has_any(value: Column, needles: list[str]) -> Column:
+    """Whether any needle stands in the text with a blank put at both of its ends."""
+    padded = F.concat(F.lit(" "), F.lower(F.coalesce(value, F.lit(""))), F.lit(" "))
+    return F.greatest(*[F.contains(padded, F.lit(n)) for n in needles], F.lit(False))
 
 
 def clauses(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FRAME = r"^(?:(.*?)([._-]))?([0-9]{2,8})((?:\.[A-Za-z0-9]+)+)$"
+FRAME = r"^(?:(.*?)([._-]))?([0-9]{2,8})((?:\.[^.]+)+)$"
 
 
 def parse_frames(listing: DataFrame) -> DataFrame:
@@ -18,11 +18,11 @@ def parse_frames(listing: DataFrame) -> DataFrame:
 def collapse_sequences(frames: DataFrame, keys: list[str], frame: str) -> DataFrame:
     """Groups of two frames or more with their range and missing frames.
 
-    Distinct frames are counted by partial aggregation, then gaps come from neighbours, so a missing run is one row's
-    arithmetic and no full range of a sparse sequence is built until its missing list is made.
+    Gaps come from neighbouring frames, so what is built for a sequence is as long as its frames and its missing list.
     """
+    gaps = F.zip_with(F.slice("seen", 1, F.size("seen") - 1), F.slice("seen", 2, F.size("seen")), lambda a, b: F.when(b - a > 1, F.sequence(a + 1, b - 1)))
     return frames.groupBy(*keys).agg(F.min(frame).alias("first_frame"), F.max(frame).alias("last_frame"), F.array_sort(F.collect_set(frame)).alias("seen")).filter(F.size("seen") >= 2).withColumn(
-        "missing", F.array_except(F.sequence("first_frame", "last_frame"), "seen")
+        "missing", F.flatten(F.array_compact(gaps))
     ).select(*keys, "first_frame", "last_frame", F.size("seen").cast("long").alias("n_frames"), F.size("missing").cast("long").alias("n_missing"), F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ def agreement(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFr
 def overlay(base: DataFrame, overrides: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Human values win over base values field by field."""
     o = overrides.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
-    return base.join(o, key, "left").select(key, *[F.coalesce(f"_{f}", f).alias(f) for f in fields], F.coalesce(*[F.col(f"_{f}").isNotNull() for f in fields]).alias("overridden"))
+    return base.join(o, key, "left").select(key, *[F.coalesce(f"_{f}", f).alias(f) for f in fields], reduce(or_, [F.col(f"_{f}").isNotNull() for f in fields]).alias("overridden"))
 
 
 def checks(constraints: DataFrame) -> DataFrame:

@@ -39,3 +39,30 @@ def profile(samples: DataFrame, key: str, value: str) -> DataFrame:
         key, "n_samples", F.round("mean", 6).alias("mean"), "peak", F.round(F.col("p")[1], 6).alias("median"), F.round(F.col("p")[3], 6).alias("p90"), F.round("mad", 6).alias("mad"),
         F.round("threshold", 6).alias("threshold"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (ratio - 1.4) / 4)), 6).alias("transient"),
     )
+
+
+def smoothed(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Adds ``smooth``: the mean over a radius of round(0.12 / mean interval) samples, 1 to 6, cut at a series' ends.
+
+    ``order`` is a number of seconds. The radius differs between series, so a row sees its six neighbours on either side
+    and takes those within its own radius.
+    """
+    at = Window.partitionBy(*keys).orderBy(order)
+    whole = samples.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"))
+    interval = F.greatest(F.lit(1e-3), (F.col("_high") - F.col("_low")) / F.greatest(F.lit(1), F.col("_n") - 1))
+    radius = F.greatest(F.lit(1), F.least(F.lit(6), F.bround(0.12 / interval).cast("int")))
+    rows = samples.join(whole.select(*keys, radius.alias("radius")), keys)
+    before = F.collect_list(value).over(at.rowsBetween(-6, -1))
+    behind = F.collect_list(value).over(at.rowsBetween(1, 6))
+    near = rows.withColumn("_b", before).withColumn("_a", behind)
+    kept = F.concat(F.slice("_b", F.greatest(F.lit(1), F.size("_b") - F.col("radius") + 1), F.col("radius")), F.array(F.col(value)), F.slice("_a", F.lit(1), F.col("radius")))
+    return near.withColumn("smooth", F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / F.size(kept)).drop("_a", "_b")
+
+
+def change_signal(samples: DataFrame, keys: list[str], order: str, change: str) -> DataFrame:
+    """Adds ``signal`` to the samples: the mean of the changes before and behind one, at the ends the only one.
+
+    ``change`` holds the change from the sample before and is null for a series' first.
+    """
+    behind = F.lead(change).over(Window.partitionBy(*keys).orderBy(order))
+    return samples.withColumn("signal", F.when(F.col(change).isNotNull() & behind.isNotNull(), (F.col(change) + behind) / 2).otherwise(F.coalesce(F.col(change), behind)))

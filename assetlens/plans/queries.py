@@ -52,20 +52,20 @@ def q04_technical_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERY = "that this was onou tion en"
-_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(translate({}, '_-', '  ')), '([a-z0-9_]+)', 1), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains(['a','an','and','at','by','for','from','in','is','of','on','or','the','to','with'], w)))"
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(translate({}, '_-', '  ')), '([a-z0-9_]+)', 1), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains(['a','an','and','asset','element','for','in','into','of','on','or','the','to','vfx','with'], w)))"
 _SEARCH = f"""WITH q AS (SELECT ['en','onou','that','this','tion','was'] AS words), b AS (
     SELECT doc_id, lang, list_intersect(words, {_TOKENS.format("lang")}) AS identity, list_intersect(words, {_TOKENS.format("text")}) AS summary, list_intersect(words, {_TOKENS.format("source")}) AS filename, words FROM documents, q),
   m AS (SELECT doc_id, list_sort(list_distinct(list_concat(list_concat(identity, summary), filename))) AS found,
-    list_sum(list_transform(words, lambda w: greatest(CASE WHEN list_contains(identity, w) THEN 1.0::DOUBLE ELSE 0 END, CASE WHEN list_contains(summary, w) THEN 0.92::DOUBLE ELSE 0 END, CASE WHEN list_contains(filename, w) THEN 0.62::DOUBLE ELSE 0 END))) / 6 AS weighted,
-    CASE WHEN list_contains(words, lang) THEN 1.0::DOUBLE ELSE 0 END AS family FROM b),
+    list_sum(list_transform(words, lambda w: greatest(CASE WHEN list_contains(identity, w) THEN 1.0::DOUBLE ELSE 0 END, CASE WHEN list_contains(summary, w) THEN 0.92::DOUBLE ELSE 0 END, CASE WHEN list_contains(filename, w) THEN 0.74::DOUBLE ELSE 0 END))) / 6 AS weighted,
+    CASE WHEN list_contains(words, lang) THEN 1.0::DOUBLE ELSE 0 END AS family, lang FROM b),
   hits AS (SELECT doc_id AS element_id, doc_id AS sort_order, CAST(len(found) AS BIGINT) AS n_matched, round(len(found) / 6::DOUBLE, 6) AS coverage, round(weighted, 6) AS weighted,
-    round(least(1.0, 0.58 * (len(found) / 6::DOUBLE) + 0.32 * weighted + 0.10 * family), 6) AS score, array_to_string(found, ',') AS matched FROM m WHERE len(found) >= 4),
+    round(least(1.0, 0.58 * (len(found) / 6::DOUBLE) + 0.32 * weighted + 0.10 * family), 6) AS score, array_to_string(found, ',') AS matched FROM m WHERE len(found) >= 4 AND lang = 'en'),
   ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, sort_order) AS rank FROM hits QUALIFY rank <= 50)"""
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("element_id"), F.col("doc_id").alias("sort_order"), "text", "lang", "source")
-    return search.score(docs, QUERY, {"identity": F.col("lang"), "summary": F.col("text"), "filename": F.col("source")}, F.array("lang"))
+    return search.score(docs, QUERY, {"identity": F.col("lang"), "summary": F.col("text"), "filename": F.col("source")}, F.array("lang"), family_concepts=["de", "en", "es", "fr"])
 
 
 @query(f"{_SEARCH} SELECT * FROM ranked")
@@ -83,8 +83,10 @@ def q07_rank_signals_rrf(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     probe = vectors.filter("vec_id = 0").select(F.col("embedding").alias("probe"))
     scored = vectors.crossJoin(F.broadcast(probe)).select("vec_id", F.round(media.cosine(F.col("embedding"), F.col("probe")), 9).alias("cos"))  # the probe is one vector
-    by_vector = scored.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("cos"), "vec_id"))).select(F.col("vec_id").alias("element_id"), "vector_rank")
     hits = q05_concept_search(spark, sf)
+    own = hits.select("element_id").join(scored, F.col("element_id") == F.col("vec_id")).select("element_id", F.col("cos").alias("own"))
+    ahead = F.expr("cos > own OR cos = own AND vec_id < element_id").cast("long")  # each of the 50 hits is counted against all vectors
+    by_vector = scored.crossJoin(F.broadcast(own)).groupBy("element_id").agg((F.sum(ahead) + 1).cast("int").alias("vector_rank"))
     return hits.join(by_vector, "element_id").select("element_id", "rank", "vector_rank", F.round(1 / (60 + F.col("rank")) + 1 / (60 + F.col("vector_rank")), 9).alias("rrf"))
 
 
