@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetlens.llm.runtime import id_and_text, materialize, release, split_by_bitmap
+from assetlens.llm.runtime import free_name, id_and_text, materialize, release, split_by_bitmap
 
 LENGTH = 400
 WINDOW = 128
@@ -406,23 +406,24 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None)
     if words:
         both = lost.unionByName(short_passages(docs, length, words))
         lost = both.groupBy("tid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    lost = materialize(lost.withColumnsRenamed({"tid": "__tid", "starts": "__starts", "ends": "__ends"}), "cut-spans")
+    key_name, tid_name, starts_name, ends_name = (free_name(x, docs.columns) for x in ("key", "tid", "starts", "ends"))
+    lost = materialize(lost.withColumnsRenamed({"tid": tid_name, "starts": starts_name, "ends": ends_name}), "cut-spans")
 
     def cut(arrow):
         for batch in arrow:
             kept = []
-            for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "__starts", "__ends"))):
+            for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", starts_name, ends_name))):
                 if starts is not None:
                     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                     edge = np.bincount(starts, minlength=len(raw) + 1) - np.bincount(ends, minlength=len(raw) + 1)
                     text = raw[np.cumsum(edge[:-1]) == 0].tobytes().decode("utf-8", "ignore")
                 kept.append(text)
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.string())).drop_columns(["__starts", "__ends"])
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.string())).drop_columns([starts_name, ends_name])
 
     tid = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    some, rest = split_by_bitmap(docs, F.xxhash64(tid), Bitmap(lost.select(F.xxhash64("__tid"))).has)
-    some = some.withColumn("__key", tid).join(lost, F.col("__key") == F.col("__tid"), "left").drop("__key")
-    some = some.mapInArrow(cut, some.drop("__starts", "__ends").schema).filter("__tid IS NULL OR trim(text) <> ''")
+    some, rest = split_by_bitmap(docs, F.xxhash64(tid), Bitmap(lost.select(F.xxhash64(tid_name))).has)
+    some = some.withColumn(key_name, tid).join(lost, F.col(key_name) == F.col(tid_name), "left").drop(key_name)
+    some = some.mapInArrow(cut, some.drop(starts_name, ends_name).schema).filter(F.col(tid_name).isNull() | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
-        some = some.withColumn("n_chars", F.when(F.col("__tid").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        some = some.withColumn("n_chars", F.when(F.col(tid_name).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rest.unionByName(some.select(*docs.columns))
