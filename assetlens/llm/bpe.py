@@ -12,7 +12,7 @@ place at a time.
 
 Edge cases: null text is empty and has no ids; repeated rows and ties are ordinary; a piece of any length is encoded whole;
 an empty table gives no rows; other columns are ignored. Memory is bounded by BATCH_BYTES of text (or one longer text), the
-database's limit and twice CACHE_BYTES of pieces and words, dropped when they are more or another operator takes the worker.
+database's limit and twice CACHE_BYTES of pieces and words, dropped when they are more and at a task's end.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from assetlens.llm.chunks import Pieces, batches_of, binary, objects
-from assetlens.llm.runtime import id_and_text, worker_state
+from assetlens.llm.runtime import id_and_text, leave, worker_state
 
 CACHE_BYTES = 48_000_000
 BATCH_BYTES = 8_000_000
@@ -132,13 +132,17 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = Fa
 
     def batches(frames):
         own = worker_state(("bpe", ranks, pattern), lambda: Codec(ranks, pattern))
-        for frame in frames:
-            for start, texts in batches_of(frame["text"], BATCH_BYTES):
-                doc_ids = frame["doc_id"].slice(start, len(texts))
-                rows = [
-                    (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw), raw == (text or "").encode(), *([bytes(ids)] if with_ids else []))
-                    for (ids, raw), text in zip(zip(*own.pieces.of(texts)), objects(texts))
-                ]
-                yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:]))], schema=arrow)
+        try:
+            for frame in frames:
+                for start, texts in batches_of(frame["text"], BATCH_BYTES):
+                    doc_ids = frame["doc_id"].slice(start, len(texts))
+                    rows = [
+                        (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw), raw == (text or "").encode(), *([bytes(ids)] if with_ids else []))
+                        for (ids, raw), text in zip(zip(*own.pieces.of(texts)), objects(texts))
+                    ]
+                    yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:]))], schema=arrow)
+        finally:  # the next task may be another operator's
+            own.pieces.forget()
+            leave()
 
     return id_and_text(docs).mapInArrow(batches, schema)

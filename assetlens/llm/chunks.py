@@ -161,6 +161,10 @@ class Pieces:
     def __init__(self, columns: int, split: Callable[[str], list[str]], encode: Callable[[pa.Array], list[pa.Array]], most: int):
         self.pieces, self.words, self.split, self.encode, self.most = Held(columns), Held(columns), split, encode, most
 
+    def forget(self) -> None:
+        self.pieces.forget()
+        self.words.forget()
+
     def _make(self, fresh: pa.Array) -> list[pa.Array]:
         order, flat, ends = words(fresh.cast(pa.large_string()), self.split)
         at = self.words.places_of(flat.dictionary, self.encode)[flat.indices.to_numpy(zero_copy_only=False)]

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlens.llm.runtime import id_and_text
+from assetlens.llm.runtime import id_and_text, tidy
 
 Q = 8
 WINDOW = 96
@@ -217,7 +217,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, items (array of the item ids found), one row for each document row."""
     out = id_and_text(docs).withColumn("items", F.array().cast("array<long>"))
     for block in blocks(benchmark):
-        out = out.mapInPandas(_pass(block), "doc_id long, text string, items array<long>")
+        out = out.mapInPandas(tidy(_pass(block)), "doc_id long, text string, items array<long>")
     return out.select("doc_id", "items")
 
 
@@ -254,4 +254,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             bad = [any(x) for x in zip(*(index.find(texts) for index in indexes))]
             yield batch.filter(pa.array([not b for b in bad], pa.bool_()))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(tidy(batches), docs.schema)

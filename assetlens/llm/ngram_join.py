@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from assetlens.llm.chunks import batches_of
 from assetlens.llm.graph import components
-from assetlens.llm.runtime import free_name, id_and_text, materialize, release, split_by_bitmap
+from assetlens.llm.runtime import free_name, id_and_text, materialize, release, split_by_bitmap, tidy
 
 ORDERS = 3
 BATCH_BYTES = 8_000_000
@@ -94,7 +94,7 @@ class Bitmap:
                 word, first = np.unique(slot >> np.uint64(6), return_index=True)
                 yield pd.DataFrame({"word": word.astype(np.int64), "bits": np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), first).view(np.int64) if len(word) else np.zeros(0, np.int64)})
 
-        rows = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).filter("key IS NOT NULL").mapInPandas(slots, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+        rows = keys.select(F.col(keys.columns[0]).cast("long").alias("key")).filter("key IS NOT NULL").mapInPandas(tidy(slots), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
         self.words = np.zeros(1 << (58 - int(shift)), np.uint64)
         self.words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
 
@@ -125,7 +125,7 @@ def sets_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     extra.append(rest.view(np.int64))
                 yield pa.RecordBatch.from_arrays([frame["doc_id"].slice(start, len(texts)), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(tokens, pa.list_(pa.int64())), pa.array(extra, pa.list_(pa.int64()))], names=["doc_id", "size", "digest", "tokens", "extra"])
 
-    return materialize(docs.mapInArrow(batches, "doc_id long, size long, digest string, tokens array<long>, extra array<long>"), "shingle-sets")
+    return materialize(docs.mapInArrow(tidy(batches), "doc_id long, size long, digest string, tokens array<long>, extra array<long>"), "shingle-sets")
 
 
 def whole_sets(docs: DataFrame, open_nodes: DataFrame, n: int) -> DataFrame:
@@ -140,7 +140,7 @@ def whole_sets(docs: DataFrame, open_nodes: DataFrame, n: int) -> DataFrame:
                 sets = shingles(texts, n)
                 yield pa.RecordBatch.from_arrays([frame["doc_id"].slice(start, len(texts)), pa.array([digest_of(s) for s in sets], pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "digest", "tokens"])
 
-    found = docs.mapInArrow(build, "doc_id long, digest string, tokens array<long>").join(open_nodes.select("doc_id", "digest", "node"), ["doc_id", "digest"])
+    found = docs.mapInArrow(tidy(build), "doc_id long, digest string, tokens array<long>").join(open_nodes.select("doc_id", "digest", "node"), ["doc_id", "digest"])
     return materialize(found.groupBy("node").agg(F.any_value("tokens").alias("tokens")), "whole-sets")
 
 
@@ -158,7 +158,7 @@ def measured(pairs: DataFrame, sets: DataFrame, with_tokens: bool) -> DataFrame:
             yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "differ": [len(d) for d in out], "tokens": out if with_tokens else None})
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(measure, "a long, b long, differ long, tokens array<long>")
+    return both.select("a", "b", "x", "y").mapInPandas(tidy(measure), "a long, b long, differ long, tokens array<long>")
 
 
 def links_of(classes: DataFrame, body: DataFrame, n: int, percent: int) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlens.llm.runtime import id_and_text
+from assetlens.llm.runtime import id_and_text, tidy
 
 TRAIN_DOCS = 3000
 STEPS = 250
@@ -171,7 +171,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 start = stop
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "score": score, "predicted": (score >= 0.5).astype(np.int32), "n_lines": lines, "bad_chars": bad}, columns=names)
 
-    return id_and_text(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInPandas(batches, SCHEMA)
+    return id_and_text(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInPandas(tidy(batches), SCHEMA)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,4 +193,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(batches, docs.schema) if model else docs
+    return docs.mapInArrow(tidy(batches), docs.schema) if model else docs

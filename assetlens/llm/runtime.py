@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
+ARROW_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,12 +63,49 @@ def worker_state(key, make):
     return _STATE[key]
 
 
+def enter() -> None:
+    """A task of an operator that keeps nothing begins: what another one kept goes."""
+    _STATE.clear()
+
+
+def leave() -> None:
+    """Give memory that a task has freed back to the system, which allocators else keep for a worker's whole life."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
+
+
+def tidy(f):
+    """The function of a Python stage, with ``enter`` before and ``leave`` behind it."""
+
+    def run(batches):
+        from assetlens.llm import runtime  # by name, as a copy of this function would have a state of its own
+
+        runtime.enter()
+        try:
+            yield from f(batches)
+        finally:
+            runtime.leave()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
-    """Only the two columns that the operators need; other columns never clash with work columns. Null text is empty."""
+    """Only the two columns that the operators need; other columns never clash with work columns. Null text is empty.
+
+    The session's Arrow batches are held to ARROW_BYTES from here on, so that a worker's memory follows from that or from
+    one longer text, and not from how many rows 10,000 texts of any length make.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -94,6 +132,6 @@ def split_by_bitmap(docs: DataFrame, key: Column, has) -> tuple[DataFrame, DataF
                 found = has(keys.fill_null(0).to_numpy(zero_copy_only=False)) & keys.is_valid().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(found == wanted))
 
-        return docs.select("*", key.cast("long").alias(name)).mapInArrow(batches, docs.schema)
+        return docs.select("*", key.cast("long").alias(name)).mapInArrow(tidy(batches), docs.schema)
 
     return half(True), half(False)

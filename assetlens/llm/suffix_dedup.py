@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetlens.llm.runtime import free_name, id_and_text, materialize, release, split_by_bitmap
+from assetlens.llm.runtime import free_name, id_and_text, materialize, release, split_by_bitmap, tidy
 
 LENGTH = 400
 WINDOW = 128
@@ -166,8 +166,8 @@ def repeated_heads(body: DataFrame, length: int) -> np.ndarray:
             slot = np.unique(_probes(frame["head"].to_numpy(np.int64).view(np.uint64)))
             yield pd.DataFrame({"slot": slot})
 
-    twice = body.select("text").mapInPandas(heads, "head long").groupBy("head").count().filter("count > 1").select("head")
-    words = twice.mapInPandas(probe, "slot long").groupBy(F.expr("slot >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toArrow()
+    twice = body.select("text").mapInPandas(tidy(heads), "head long").groupBy("head").count().filter("count > 1").select("head")
+    words = twice.mapInPandas(tidy(probe), "slot long").groupBy(F.expr("slot >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toArrow()
     bloom = np.zeros((1 << BLOOM_BITS) // 64, np.int64)
     bloom[words["word"].to_numpy()] = words["bits"].to_numpy()
     return bloom
@@ -214,7 +214,7 @@ def parse(body: DataFrame, bloom: np.ndarray, length: int) -> DataFrame:
             rows = [(i, len(t), hashlib.sha256(t).hexdigest(), *m) for i, t, m in zip(frame["doc_id"].astype("Int64").array, texts, more)]
             yield pd.DataFrame(rows, columns=PARSED.replace(",", "").split()[0::2]).astype({"doc_id": "Int64"})
 
-    return materialize(body.mapInPandas(batches, PARSED), "parsed")
+    return materialize(body.mapInPandas(tidy(batches), PARSED), "parsed")
 
 
 def sorted_names(triples: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, spans: bool = False)
                 p = np.repeat(spans[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 yield pd.DataFrame({"tid": tid, "start": p.astype(np.int32), "h1": t.hash(p, p + length).view(np.int64), "h2": t.hash(p, p + length, 1).view(np.int64)})
 
-    windows = state.filter("size(open) > 0").select("tid", "raw", "open").mapInPandas(prefixes, "tid string, start int, h1 long, h2 long")
+    windows = state.filter("size(open) > 0").select("tid", "raw", "open").mapInPandas(tidy(prefixes), "tid string, start int, h1 long, h2 long")
     equal = Window.partitionBy("h1", "h2")
     hits = windows.withColumn("n", F.count("*").over(equal)).filter("n > 1").groupBy("tid").agg(F.collect_list("start").alias("starts"))
     joined = state.drop("open").join(hits, "tid", "left").filter("copies > 1 OR size(done) > 0 OR starts IS NOT NULL")
@@ -344,7 +344,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, spans: bool = False)
             yield pd.DataFrame(out, columns=["tid", "starts", "ends"] if spans else ["tid", "n_removed", "n_spans", "kept"])
 
     schema = "tid string, starts array<long>, ends array<long>" if spans else "tid string, n_removed long, n_spans long, kept binary"
-    return every, joined.select("tid", "raw", "copies", "done", "starts").mapInPandas(cut, schema)
+    return every, joined.select("tid", "raw", "copies", "done", "starts").mapInPandas(tidy(cut), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -385,7 +385,7 @@ def short_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
             if out:
                 yield pd.concat(out)
 
-    found = materialize(id_and_text(docs).select("text").mapInPandas(runs, "tid string, start long, end long, h1 long, h2 long"), "short-passages")
+    found = materialize(id_and_text(docs).select("text").mapInPandas(tidy(runs), "tid string, start long, end long, h1 long, h2 long"), "short-passages")
     twice = found.groupBy("h1", "h2").count().filter("count > 1").drop("count")
     hits = found.join(twice, ["h1", "h2"]).select("tid", "start", "end").distinct()
     return hits.groupBy("tid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
@@ -423,7 +423,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None)
     tid = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     some, rest = split_by_bitmap(docs, F.xxhash64(tid), Bitmap(lost.select(F.xxhash64(tid_name))).has)
     some = some.withColumn(key_name, tid).join(lost, F.col(key_name) == F.col(tid_name), "left").drop(key_name)
-    some = some.mapInArrow(cut, some.drop(starts_name, ends_name).schema).filter(F.col(tid_name).isNull() | (F.trim("text") != ""))
+    some = some.mapInArrow(tidy(cut), some.drop(starts_name, ends_name).schema).filter(F.col(tid_name).isNull() | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         some = some.withColumn("n_chars", F.when(F.col(tid_name).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rest.unionByName(some.select(*docs.columns))
