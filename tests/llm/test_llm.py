@@ -380,6 +380,17 @@ def test_pieces_join_to_their_texts_and_words_are_pre_tokens():
         assert [w for p in own for w in cut[p]] == pattern.findall(texts[i] or "")
 
 
+def test_shingles_do_not_depend_on_batches():
+    rnd = random.Random(9)
+    texts = pa.array([None if i % 9 == 4 else words(rnd, rnd.randrange(30)) for i in range(200)])
+    alone = [ngram_join.shingles(pa.array([t], pa.string()), 3)[0].tolist() for t in texts.to_pylist()]
+    for most in (1, 300, 1 << 30):
+        got = [s.tolist() for _, part in chunks.batches_of(texts, most) for s in ngram_join.shingles(part, 3)]
+        assert got == alone
+    for _, part in chunks.batches_of(texts.slice(50, 100), 300):
+        assert part.offset == 0
+
+
 def test_letters_of_arrow_are_letters_of_the_pattern():
     signs = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
     found = pc.match_substring_regex(pa.array(signs), r"^\pL$").to_numpy(zero_copy_only=False)
