@@ -65,7 +65,7 @@ def score(elements: DataFrame, query: str, buckets: dict[str, Column], families:
     stand = {w: [t for t, c in (aliases or {}).items() if c == w] + ([w] if w not in (aliases or {}) else []) for w in wanted}
     plain = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
     found_in = lambda t: F.array_compact(F.array(*[F.when(F.greatest(*[F.contains(t, F.lit(f" {s} ")) for s in stand[w]], F.lit(False)), F.lit(w)) for w in wanted]))
-    required = [w for w in wanted if w in family_concepts]
+    required, families = [w for w in wanted if w in family_concepts], families.cast("array<string>")
     have = lambda own: F.size(F.array_intersect(own, F.array(*map(F.lit, required)).cast("array<string>")))
     fit = elements.filter(have(families if affirmed is None else F.array_union(families, affirmed)) == len(required)) if required else elements
     family = have(families) / len(required) if required else F.lit(0.0)

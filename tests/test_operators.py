@@ -65,7 +65,10 @@ def test_affirmed_words(spark, sentence, words):
 
 def test_search_aliases_and_empty_queries(spark):
     rows = spark.createDataFrame([("e1", 0, "Wide blast, top_view"), ("e2", 1, "ground fire"), ("e3", 2, None)], "element_id string, sort_order int, text string")
-    hit = lambda q: [r["element_id"] for r in search.top(search.score(rows, q, {"summary": F.col("text")}, F.array(), {"blast": "explosion"}), 5).collect()]
+    aliases = {"blast": "explosion"}
+    said = text.concepts(F.col("text"), aliases)  # a family that the query names has to be the element's or be affirmed
+    hit = lambda q, **more: [r["element_id"] for r in search.top(search.score(rows, q, {"summary": F.col("text")}, F.array(), aliases, **({"affirmed": said} | more)), 5).collect()]
+    assert hit("explosion", affirmed=None) == [] == hit("fire ground", affirmed=None)
     assert hit("explosion") == ["e1"] and hit("fire ground") == ["e2"] and hit("123") == ["e1", "e2", "e3"]
 
 
