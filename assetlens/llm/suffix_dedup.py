@@ -12,8 +12,11 @@ A byte is removed if a string of ``length`` bytes that covers it also starts any
    position 0 mod 3 are joined to classes by (name, class of the next sampled suffix) or (two names, class of the one after),
    whichever the other suffix shares.
 3. Neighbours. Suffixes of one class that also agree on what stands before the anchor share all their strings, which are
-   resolved at once; only for one of them, and for suffixes that stand alone, the ``length``-byte prefixes of the strings
-   that start before the anchor are hashed and grouped. A prefix that occurs twice is a repeat. No suffix order is made.
+   resolved at once; only for one of them, and for suffixes that stand alone, the strings that start before the anchor are
+   told apart further. BLOCK distances to the anchor make a block. Strings of a block repeat at once if all bytes that they
+   cover occur twice, and none does if the bytes that they share occur once; equal strings stand at equal distances. Only
+   in blocks with equal shared and different covered bytes, one for each of these, are ``length``-byte prefixes hashed and
+   grouped one by one. A prefix that occurs twice is a repeat. No suffix order is made.
 
 Text is shuffled only for texts that hold a possible repeat. Hashes are 64 bits for classes and 128 for prefixes.
 
@@ -36,6 +39,8 @@ from assetlens.llm.runtime import free_name, id_and_text, materialize, release,
 
 LENGTH = 400
 WINDOW = 128
+BLOCK = 16
+BLOCKS = "run long, low int, high int, core long, u1 long, u2 long"
 BLOOM_BITS = 25
 PROBES = 4
 SLICE = 1 << 18
@@ -282,6 +287,41 @@ def covered(n: int, starts: np.ndarray, ranges: np.ndarray, length: int) -> np.n
     return np.cumsum(edge[:-1]) > 0
 
 
+def block_rows(frames, length: int):
+    """Rows of BLOCKS for texts (run, raw, open): the starts low to high of a span whose distances to the anchor share a block.
+
+    ``core`` is a hash of the bytes that all strings of a block have in common, wherever the span is cut off, u1 and u2
+    are hashes of all bytes that the strings of the row cover.
+    """
+    for frame in frames:
+        out = []
+        for run, raw, open_ in zip(frame["run"], frame["raw"], frame["open"]):
+            t = Text(raw, second=True)
+            spans = np.array([(r["low"], r["high"], r["anchor"]) for r in open_], np.int64)
+            k, last = (spans[:, 2] - spans[:, 1]) // BLOCK, (spans[:, 2] - spans[:, 0]) // BLOCK
+            n = last - k + 1
+            of = np.repeat(np.arange(len(n)), n)
+            first = spans[of, 2] - BLOCK * (np.repeat(k - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+            low, high = np.maximum(spans[of, 0], first - BLOCK + 1), np.minimum(spans[of, 1], first)
+            core = t.hash(first, first + length - BLOCK + 1)
+            out.append(pd.DataFrame({"run": run, "low": low.astype(np.int32), "high": high.astype(np.int32), "core": core.view(np.int64), "u1": t.hash(low, high + length).view(np.int64), "u2": t.hash(low, high + length, 1).view(np.int64)}))
+        if out:
+            yield pd.concat(out)
+
+
+def prefix_rows(frames, length: int):
+    """(run, start, h1, h2) of each string that starts in the open ranges of texts (run, raw, open)."""
+    for frame in frames:
+        out = []
+        for run, raw, open_ in zip(frame["run"], frame["raw"], frame["open"]):
+            t, spans = Text(raw, second=True), _ranges(open_)
+            n = spans[:, 1] - spans[:, 0] + 1
+            p = np.repeat(spans[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append(pd.DataFrame({"run": run, "start": p.astype(np.int32), "h1": t.hash(p, p + length).view(np.int64), "h2": t.hash(p, p + length, 1).view(np.int64)}))
+        if out:
+            yield pd.concat(out)
+
+
 def repeated_strings(docs: DataFrame, length: int = LENGTH, spans: bool = False) -> tuple[DataFrame, DataFrame]:
     """(every document with the digest ``tid`` of its text; for texts that lose bytes: tid and the kept bytes).
 
@@ -296,39 +336,38 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, spans: bool = False)
     texts = parsed.filter("raw IS NOT NULL").groupBy("tid").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in held))
     texts = materialize(texts.withColumn("run", F.monotonically_increasing_id()), "texts")
     release(parsed)
-    cells = texts.select("run", "copies", F.posexplode(F.arrays_zip("lows", "highs", "heads", "lefts", "names", "covers")).alias("pos", "z"))
-    cells = materialize(cells.select("run", "pos", "copies", "z.lows", "z.highs", "z.heads", "z.lefts", "z.names", "z.covers"), "suffixes")
+    cells = texts.select("run", "copies", F.posexplode(F.arrays_zip("anchors", "lows", "highs", "heads", "lefts", "names", "covers")).alias("pos", "z"))
+    cells = materialize(cells.select("run", "pos", "copies", "z.anchors", "z.lows", "z.highs", "z.heads", "z.lefts", "z.names", "z.covers"), "suffixes")
     strings = materialize(cells.select("run", F.lit(1).alias("half"), "pos", F.col("names").alias("sym"), F.col("covers").alias("cover")), "strings")
     classes = suffix_classes(strings, length)
     ranked = cells.drop("names", "covers").join(classes.drop("half"), ["run", "pos"])
     # The class and what stands before the anchor, as one number.
-    ranked = materialize(ranked.select("run", "copies", "lows", "highs", "heads", F.xxhash64("cls", "lefts", "heads").alias("context")), "ranked")
+    ranked = materialize(ranked.select("run", "copies", "anchors", "lows", "highs", "heads", F.xxhash64("cls", "lefts", "heads").alias("context")), "ranked")
     release(cells)
     context, group = Window.partitionBy("context"), Window.partitionBy("heads")
-    ranked = ranked.withColumn("twins", F.sum("copies").over(context)).withColumn("first", F.row_number().over(context.orderBy("run", "lows")) == 1)
-    ranked = ranked.withColumn("mixed", F.min("context").over(group) != F.max("context").over(group))
-    marked = ranked.filter("twins > 1 OR (mixed AND first)").groupBy("run").agg(
+    marks = ranked.withColumn("twins", F.sum("copies").over(context)).withColumn("first", F.row_number().over(context.orderBy("run", "lows")) == 1)
+    marks = marks.withColumn("mixed", F.min("context").over(group) != F.max("context").over(group))
+    marked = marks.filter("twins > 1 OR (mixed AND first)").groupBy("run").agg(
         F.collect_list(F.when(F.col("twins") > 1, F.struct(F.col("lows").alias("low"), F.col("highs").alias("high")))).alias("done"),
-        F.collect_list(F.when(F.col("mixed") & F.col("first"), F.struct(F.col("lows").alias("low"), F.col("highs").alias("high")))).alias("open"),
+        F.collect_list(F.when(F.col("mixed") & F.col("first"), F.struct(F.col("lows").alias("low"), F.col("highs").alias("high"), F.col("anchors").alias("anchor")))).alias("open"),
     )
-    state = materialize(texts.select("run", "tid", "raw", "copies").join(marked, "run").drop("run"), "states")
-    release(texts)
-
-    def prefixes(frames):
-        for frame in frames:
-            for tid, raw, open_ in zip(frame["tid"], frame["raw"], frame["open"]):
-                spans = _ranges(open_)
-                if not len(spans):
-                    continue
-                t = Text(raw, second=True)
-                n = spans[:, 1] - spans[:, 0] + 1
-                p = np.repeat(spans[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                yield pd.DataFrame({"tid": tid, "start": p.astype(np.int32), "h1": t.hash(p, p + length).view(np.int64), "h2": t.hash(p, p + length, 1).view(np.int64)})
-
-    windows = state.filter("size(open) > 0").select("tid", "raw", "open").mapInPandas(tidy(prefixes), "tid string, start int, h1 long, h2 long")
+    state = materialize(texts.select("run", "tid", "raw", "copies").join(marked, "run"), "states")
+    release(texts, ranked)
+    open_texts = state.filter("size(open) > 0").select("run", "raw", "open")
+    blocks = materialize(open_texts.mapInPandas(tidy(lambda frames: block_rows(frames, length)), BLOCKS), "blocks")
+    unions = blocks.groupBy("core", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("run", "low", "high")).alias("one"))
+    unions = materialize(unions, "unions")
+    twice = blocks.join(unions.filter("n > 1").select("core", "u1", "u2"), ["core", "u1", "u2"])
+    settled = twice.groupBy("run").agg(F.collect_list(F.struct("low", "high")).alias("settled"))
+    differ = unions.groupBy("core").count().filter("count > 1").select("core")
+    rest = unions.join(differ, "core").groupBy("one.run").agg(F.collect_list(F.struct("one.low", "one.high")).alias("open"))
+    windows = state.select("run", "raw").join(rest, "run").mapInPandas(tidy(lambda frames: prefix_rows(frames, length)), "run long, start int, h1 long, h2 long")
     equal = Window.partitionBy("h1", "h2")
-    hits = windows.withColumn("n", F.count("*").over(equal)).filter("n > 1").groupBy("tid").agg(F.collect_list("start").alias("starts"))
-    joined = state.drop("open").join(hits, "tid", "left").filter("copies > 1 OR size(done) > 0 OR starts IS NOT NULL")
+    hits = windows.withColumn("n", F.count("*").over(equal)).filter("n > 1").groupBy("run").agg(F.collect_list("start").alias("starts"))
+    joined = state.drop("open").join(settled, "run", "left").join(hits, "run", "left")
+    no_range = F.expr("cast(array() AS array<struct<low: int, high: int>>)")
+    joined = joined.withColumn("done", F.concat(F.col("done").cast("array<struct<low: int, high: int>>"), F.coalesce("settled", no_range)))
+    joined = joined.filter("copies > 1 OR size(done) > 0 OR starts IS NOT NULL")
 
     def cut(frames):
         for frame in frames:

@@ -137,6 +137,27 @@ def test_op3_equals_brute_force(spark, hard):
     assert cut.columns == ["doc_id", "text", "head", "size", "node"] and cut.filter("doc_id = 4").first()["text"] == "one two"
 
 
+@pytest.mark.parametrize("length", [256, 400])
+def test_op3_passages_that_end_anywhere(spark, length):
+    """Slices of shared passages whose ends and edits leave strings of one anchor that repeat in part."""
+    rnd = random.Random(length)
+    pool = [words(rnd, 260) for _ in range(4)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 3)):
+            source = rnd.choice(pool)
+            start = rnd.randrange(len(source) - length)
+            piece = source[start:start + rnd.randint(length - 40, length + 300)]
+            if rnd.random() < 0.3:
+                at = rnd.randrange(len(piece))
+                piece = piece[:at] + "#" + piece[at + 1:]
+            parts += [piece, words(rnd, rnd.randint(0, 25))]
+        texts.append("".join(parts))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(frame(spark, [(i, t, "", 1, "") for i, t in enumerate(texts)]), length).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, length)
+
+
 def test_pipeline_cuts_51_short_words(spark):
     """Repeated passages of over 50 words go whatever their bytes; 50 words in fewer than 256 bytes stay."""
     rnd = random.Random(12)
