@@ -12,8 +12,9 @@ def annotation_queue(rows: DataFrame, key: str, identifiers: list[str], excluded
     """One element of each group of elements that share any identifier, also by way of others, in a seeded order.
 
     A group with an excluded member is left out whole. Null identifiers link nothing. ``limit`` is the queue's length.
+    ``rows`` are read once: a dozen scans and joins go over their keys, which would each hold whole texts again.
     """
-    named = rows.select(F.col(key).alias("node"), *identifiers, F.coalesce(excluded, F.lit(False)).alias("excluded"))
+    named = link.cut(rows.select(F.col(key).alias("node"), *identifiers, F.coalesce(excluded, F.lit(False)).alias("excluded")))
     edges = link.union_all([link.star_edges(named.select("node", i), "node", i) for i in identifiers])
     groups = link.components(named.select("node"), edges).join(named.select("node", "excluded"), "node").groupBy("component").agg(
         F.min("node").alias(key), F.count("*").alias("n_members"), F.bool_or("excluded").alias("excluded"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +33,17 @@ def hamming_pairs(hashes: DataFrame, limit: int) -> DataFrame:
     return a.join(b, meet & (distance <= limit) & first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.cast("int").alias("distance"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` worked out once, without its lineage: checkpoint() where the session names a folder, else on local disk."""
+    named = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if named else df.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): least label of neighbours and of the label's own label, until nothing changes.
 
-    Lineage is cut every round by checkpoint() where the session names a folder, else the plan stays short enough for
-    the few rounds that small graphs need.
+    Every round names the one before four times, so lineage is cut each time.
     """
-    spark = edges.sparkSession
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.persist())
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(nodes.select("node", F.col("node").alias("component")))
     for _ in range(rounds):

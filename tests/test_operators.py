@@ -132,3 +132,11 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_annotation_queue_reads_its_rows_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "c", None)], "k long, print string, family string").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    queue = annotate.annotation_queue(rows, "k", ["print", "family"], F.col("print") == "z", seed=1, limit=9)
+    assert {(r["k"], r["n_members"]) for r in queue.collect()} == {(1, 3), (4, 1)}
+    assert rows.inputFiles() and not queue.inputFiles()
