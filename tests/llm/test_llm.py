@@ -244,6 +244,36 @@ def test_op5_near_copies_that_do_not_all_link(spark):
         assert got == brute_components(rows, n, percent)
 
 
+def test_op5_near_copies_make_few_pairs(spark, monkeypatch):
+    rnd = random.Random(31)
+    base = words(rnd, 150).split()
+    texts = []
+    for _ in range(300):
+        copy = list(base)
+        for at in rnd.sample(range(150), rnd.randint(1, 7)):
+            copy[at] = words(rnd, 1) + "x"
+        texts.append(" ".join(copy))
+    made = {}
+
+    def counted(df, name, materialize=ngram_join.materialize):
+        out = materialize(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs, 3, 90).collect()}
+    sets = [{tuple(w[i:i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    label = list(range(300))
+    for a in range(300):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert got == dict(enumerate(label)) and len(set(label)) > 20
+    assert made["token-counts"] < 300 and made["candidates"] <= 300
+
+
 def test_op5_rows_that_share_an_id(spark):
     x, y = "p q r s t u v", "k l m n o"
     rows = [(1, x, "", 1, ""), (2, x, "", 1, ""), (2, y, "", 1, ""), (0, y, "", 1, ""), (5, None, "", 1, ""), (5, "z z z z", "", 1, ""), (4, "z z z z", "", 1, ""), (None, x, "", 1, "")]
