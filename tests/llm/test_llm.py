@@ -281,6 +281,29 @@ def test_op5_rows_that_share_an_id(spark):
     assert got == sorted([(1, 5, 0), (2, 5, 0), (2, 3, 0), (0, 3, 0), (5, 0, 4), (5, 1, 4), (4, 1, 4), (None, 5, None)], key=str)
 
 
+def test_op5_bitmap_tells_consecutive_ids_apart(spark):
+    ids = spark.range(256_410)
+    wanted = ids.filter("xxhash64(id) % 6 = 0").toPandas()["id"].to_numpy()
+    found = np.flatnonzero(ngram_join.Bitmap(ids.filter("xxhash64(id) % 6 = 0")).has(np.arange(256_410)))
+    assert set(wanted) <= set(found) and len(found) - len(wanted) < 256_410 / ngram_join.BITMAP_A_KEY
+
+
+def test_op5_sends_whole_sets_once(spark, monkeypatch):
+    """The join shuffles them, and nothing behind it does."""
+    rows = [(i, f"a{i} b{i} c{i} d{i}", "", 1, "") for i in range(3000)]
+    nodes = spark.createDataFrame([(9 - i, 7 * i, ngram_join.digest_of(ngram_join.shingles(pa.array([rows[7 * i][1]]), 3)[0])) for i in range(10)], "node long, doc_id long, digest string")
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = ngram_join.whole_sets(frame(spark, rows).select("doc_id", "text"), nodes, 3)
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+        got = {r["node"]: sorted(r["tokens"]) for r in sets.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {9 - i: sorted(ngram_join.shingles(pa.array([rows[7 * i][1]]), 3)[0].view(np.int64).tolist()) for i in range(10)}
+    assert plan.count("Exchange hashpartitioning") == 2  # either side of the join
+
+
 def test_op6_held_out_accuracy(spark, hard):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = quality.classify(docs, labels).filter("held_out").join(labels, "doc_id").collect()
