@@ -16,7 +16,7 @@ def annotation_queue(rows: DataFrame, key: str, identifiers: list[str], excluded
     """
     named = link.cut(rows.select(F.col(key).alias("node"), *identifiers, F.coalesce(excluded, F.lit(False)).alias("excluded")))
     edges = link.union_all([link.star_edges(named.select("node", i), "node", i) for i in identifiers])
-    groups = link.components(named.select("node"), edges).join(named.select("node", "excluded"), "node").groupBy("component").agg(
+    groups = link.components(named.select("node").distinct(), edges).join(named.select("node", "excluded"), "node").groupBy("component").agg(
         F.min("node").alias(key), F.count("*").alias("n_members"), F.bool_or("excluded").alias("excluded"),
     )
     order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("component").cast("string"))), F.col("component")]

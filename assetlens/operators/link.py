@@ -34,26 +34,32 @@ def hamming_pairs(hashes: DataFrame, limit: int) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` worked out once, without its lineage: checkpoint() where the session names a folder, else on local disk."""
-    named = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if named else df.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+    """The rows of ``df`` worked out once, without its lineage: checkpoint() where the session names a folder, else on local disk.
+
+    The rows go into a frame of their own, as a checkpoint keeps its lineage's estimated size: a join multiplies sizes, so
+    in a loop their digits double with each round until they fill the driver.
+    """
+    session = df.sparkSession
+    kept = df.checkpoint() if session.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), session)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): least label of neighbours and of the label's own label, until nothing changes.
+    """(node, component) of each row of ``nodes``: the least node that it reaches by ``edges`` (a, b) between nodes.
 
-    Every round names the one before four times, so lineage is cut each time.
+    Large-star and small-star rounds: neighbours are pointed at the least node seen, first those above a node, then those
+    below, until every node has one edge, to a least one. A chain of n nodes takes about log n rounds.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(nodes.select("node", F.col("node").alias("component")))
+    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"))
-        up = step.select(F.col("node").alias("via"), F.col("component").alias("above"))
-        new = cut(step.join(up, step["component"] == up["via"]).select("node", F.least("component", "above").alias("component")))
-        if new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").isEmpty():
-            return new
-        labels = new
+        down = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        ends = links.select("a", F.lit(1).alias("up"), F.lit(0).alias("hub")).union(down.select("a", F.lit(0), F.lit(1)))
+        if ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("hub").alias("hub")).filter("up + hub > 1").isEmpty():
+            return nodes.join(links, nodes["node"] == links["a"], "left").select("node", F.coalesce("b", "node").alias("component"))
+        least = links.union(down).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = cut(down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.filter("m < a")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        links = cut(large.join(least, "a").filter("m < b").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct())
     raise RuntimeError("components did not settle")
 
 

@@ -48,6 +48,22 @@ def test_components_of_random_edges(spark):
     assert got == {i: root(i) for i in range(100)}
 
 
+def test_components_of_a_shuffled_chain_take_few_rounds(spark):
+    ids = list(range(150))
+    random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    got = link.components(spark.range(160).withColumnRenamed("id", "node"), edges, rounds=12).collect()
+    assert sorted(map(tuple, got)) == [(i, 0 if i < 150 else i) for i in range(160)]
+
+
+def test_cut_leaves_the_estimated_size_of_its_lineage_behind(spark):
+    frame, sizes = spark.range(50), []
+    for _ in range(3):
+        frame = link.cut(frame.join(frame.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+        sizes.append(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert frame.count() == 50 and len(set(sizes)) == 1
+
+
 def test_islands_fill_short_gaps(spark):
     flags = [1, 0, 1, 0, 0, 1, 1, 0]
     rows = spark.createDataFrame([("c", i, float(v)) for i, v in enumerate(flags)], "clip string, t int, value double")
@@ -140,3 +156,9 @@ def test_annotation_queue_reads_its_rows_once(spark, tmp_path):
     queue = annotate.annotation_queue(rows, "k", ["print", "family"], F.col("print") == "z", seed=1, limit=9)
     assert {(r["k"], r["n_members"]) for r in queue.collect()} == {(1, 3), (4, 1)}
     assert rows.inputFiles() and not queue.inputFiles()
+
+
+def test_annotation_queue_counts_a_repeated_row_once_each_time(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "b"), (3, "b"), (3, "b")], "k long, print string")
+    queue = annotate.annotation_queue(rows, "k", ["print"], F.lit(False), seed=1, limit=9)
+    assert {(r["k"], r["n_members"]) for r in queue.collect()} == {(1, 3), (3, 3)}
