@@ -158,6 +158,33 @@ def test_op3_passages_that_end_anywhere(spark, length):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, length)
 
 
+def test_op3_returns_what_is_kept(spark, monkeypatch):
+    """The kept text stands beside the digests, also of texts, contexts and heads that are common enough to be broadcast."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    rnd = random.Random(31)
+    shared, twin = words(rnd, 90), words(rnd, 80)
+    wide = "".join(rnd.choice("éß漢🙂a ") for _ in range(300))
+    texts = [f"{words(rnd, rnd.randint(1, 40))} {shared} {words(rnd, 20)}" for _ in range(12)] + [twin] * 6 + [words(rnd, 4) * 60] * 2 + ["abcdefghi" * 200, "x" + wide, "yz" + wide, words(rnd, 99), None, "", "é"]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(frame(spark, [(i, t, "", 1, "") for i, t in enumerate(texts)]), 256).collect()}
+    assert [tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == brute_repeats([t or "" for t in texts], 256)
+    kept = [got[i]["text"] for i in range(len(texts))]
+    assert all(hashlib.sha256(k.encode()).hexdigest() == got[i]["kept_sha256"] for i, k in enumerate(kept))
+    assert all(shared not in k and k for k in kept[:12]) and kept[12:20] == [""] * 8 and kept[-6:] == ["x", "yz", *(t or "" for t in texts[-4:])]
+
+
+def test_op3_common_keys_stay_apart(spark, monkeypatch):
+    """Suffixes of one context or head that is very common don't meet in one task."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 50)
+    rows = [(i, 1, 5, 1, 3, 7, 100 + i % 80 if i < 400 else 9) for i in range(2000)] + [(3000 + i, 1, 5, 1, 3, 8, 500 + i // 2) for i in range(30)] + [(4000, 1, 5, 1, 3, 10, 900), (4001, 2, 5, 1, 3, 11, 901)]
+    ranked = spark.createDataFrame(rows, "run long, copies long, anchors int, lows int, highs int, heads long, context long").repartition(8)
+    got = {r["run"]: (len(r["done"]), len(r["open"])) for r in suffix_dedup.spans_by_run(ranked).collect()}
+    first = {*range(80), 400, *range(3000, 3030, 2)}
+    assert got == {r[0]: (1, int(r[0] in first)) for r in rows if r[0] != 4000}
+    counts = ranked.groupBy("context").count().withColumnRenamed("count", "n")
+    tasks = suffix_dedup.among(ranked, "context", counts).filter("context = 9").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r[1] for r in tasks) == 1600 and max(r[1] for r in tasks) < 400
+
+
 def test_pipeline_cuts_51_short_words(spark):
     """Repeated passages of over 50 words go whatever their bytes; 50 words in fewer than 256 bytes stay."""
     rnd = random.Random(12)
